@@ -266,7 +266,7 @@ def pseudonymised(docs: DataFrame, key: bytes = PUBLIC_KEY, undo: bool = False,
     """``docs`` with pseudonyms in ``text``, and ``n_pii``, how many there are."""
     keep = [c for c in docs.columns if c.lower() != "n_pii"]
     rows = docs.select(*(f"`{c}`" for c in keep))
-    schema = type(rows.schema)(list(rows.schema.fields)).add("n_pii", "int")
+    schema = type(rows.schema)(list(rows.schema.fields)).add("n_pii", "integer")
     place = keep.index(text)
     sized = keep.index("n_chars") if "n_chars" in keep else None
 
