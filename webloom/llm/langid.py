@@ -17,68 +17,103 @@ rejected; repeated rows come out repeatedly; other columns are untouched.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import fresh
+from .base import fresh, joined_small
 
 SAMPLE, LEAST, PROFILE, LONGEST = 2000, 5, 300, 5
 #: Greatest share of the possible distance at which a language is accepted.
 ACCEPT = 0.9
-
-LETTERS = regex.compile(r"\p{L}+")
-
-
-class Grams:
-    """A worker's numbers for n-grams and, for each raw token, the numbers of its n-grams."""
-
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def trimmed(self) -> None:
-        if len(self.tokens) > 300_000 or len(self.numbers) > 1_500_000:
-            self.tokens.clear()
-            self.numbers.clear()
-
-    def token(self, token: str) -> bytes:
-        numbers, out = self.numbers, []
-        for word in LETTERS.findall(token.lower()):
-            padded = f" {word} "
-            end = len(padded)
-            for n in range(1, LONGEST + 1):
-                for i in range(end - n + 1):
-                    gram = padded[i : i + n]
-                    if gram != " ":
-                        out.append(numbers.setdefault(gram, len(numbers)))
-        value = np.array(out, np.int32).tobytes()
-        if len(token) <= 64:
-            self.tokens[token] = value
-        return value
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of a text's n-grams."""
-        get = self.tokens.get
-        tokens = text.split()
-        parts = [get(t) for t in tokens]
-        if None in parts:
-            parts = [self.token(t) if p is None else p for t, p in zip(tokens, parts)]
-        found = np.frombuffer(b"".join(parts), np.int32)
-        if not len(found):
-            return found, found
-        found = np.sort(found)
-        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        return found[starts], np.diff(np.append(starts, len(found)))
-
-
-_grams = Grams()
+#: So many languages' bounds at most are broadcast.
+BROADCAST_LANGUAGES = 10_000
+
+#: Starts of n-grams that are hashed at a time, so that a text of any length takes bounded memory.
+BLOCK = 1 << 19
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+
+
+def stream(text: str) -> np.ndarray:
+    """The code points of a text's words, each between blanks (0); words share the blank."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _letters()[codes]
+    padded = np.zeros(len(codes) + 2, np.uint32)
+    padded[1:-1] = codes
+    padded[~inside] = 0
+    inside[:-1] |= inside[1:]  # the blank before a word; the last word's is the last place
+    found = padded[inside]
+    return np.append(found, np.uint32(0)) if len(found) else found
+
+
+def _blocks(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``key, place * 8 + length`` of the n-grams, a block of places at a time."""
+    for at in range(0, len(found), BLOCK):
+        codes = found[at : at + BLOCK + LONGEST - 1].astype(np.uint64) + np.uint64(1)
+        blank = codes == 1
+        size = min(BLOCK, len(found) - at)
+        key, open_ = codes[:size], np.ones(size, bool)
+        keys, places = [key[~blank[:size]]], [np.flatnonzero(~blank[:size]) * 8 + 1]
+        for n in range(2, LONGEST + 1):
+            whole = min(size, len(codes) - n + 1)
+            if whole <= 0:
+                break
+            if n > 2:  # no blank but at the ends
+                open_ = open_[:whole] & ~blank[n - 2 : n - 2 + whole]
+            key = key[:whole] * _FACTOR + codes[n - 1 : n - 1 + whole]
+            own = open_[:whole]
+            keys.append(key[own])
+            places.append(np.flatnonzero(own) * 8 + n)
+        yield np.concatenate(keys), np.concatenate(places) + at * 8
+
+
+def counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams' 64-bit keys, in order, and how often each occurs."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for block, _ in _blocks(found):
+        block.sort()
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        own, n = block[starts], np.diff(np.append(starts, len(block)))
+        if len(keys):
+            both, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+            own = both
+        keys, counts = own, n
+    return keys, counts
+
+
+def spelled(found: np.ndarray, known: dict[int, str]) -> None:
+    """Adds the n-grams of a stream that ``known`` lacks, by key."""
+    letters = found.copy()
+    letters[found == 0] = 32
+    text = letters.tobytes().decode("utf-32-le", "surrogatepass")
+    for block, places in _blocks(found):
+        keys, first = np.unique(block, return_index=True)
+        for key, place in zip(keys.tolist(), places[first].tolist()):
+            if key not in known:
+                known[key] = text[place >> 3 : (place >> 3) + (place & 7)]
+
+
+def key_of(gram: str) -> int:
+    key = 0
+    for i, c in enumerate(gram):
+        code = 1 if c == " " else ord(c) + 1
+        key = code if not i else (key * int(_FACTOR) + code) & 0xFFFFFFFFFFFFFFFF
+    return key
 
 
 def profiles(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, size: int = PROFILE, text: str = "text", lang: str = "lang") -> dict[str, dict[str, int]]:
@@ -88,19 +123,20 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, size: in
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), key.alias("key"), F.col(text).cast("string").alias("text")).where("lang is not null and lang != '' and text is not null")
     ranked = labelled.select("lang", "key").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(f"n <= {int(sample)}")
     bounds = ranked.groupBy("lang").agg(F.max("key").alias("bound"), F.count(F.lit(1)).alias("rows")).where(f"rows >= {int(least)}").select("lang", "bound")
-    chosen = labelled.join(F.broadcast(bounds), "lang").where("key <= bound").select("lang", "text")
+    chosen = joined_small(labelled, bounds.toDF("of", "bound"), F.col("lang") == F.col("of"), "inner", BROADCAST_LANGUAGES).where("key <= bound").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
-        grams = Grams()
+        names: dict[int, str] = {}
         for batch in batches:
             for label, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                numbers, counts = grams.counts(value)
-                totals.setdefault(label, Counter()).update(dict(zip(numbers.tolist(), counts.tolist())))
-        names = list(grams.numbers)
+                found = stream(value)
+                spelled(found, names)
+                keys, counts = counted(found)
+                totals.setdefault(label, Counter()).update(dict(zip(keys.tolist(), counts.tolist())))
         for label, counter in totals.items():
             rows = list(counter.items())
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows)), pa.array([names[i] for i, _ in rows]), pa.array([n for _, n in rows], pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.string()), pa.array([names[i] for i, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(f"rank <= {int(size)}")
@@ -110,29 +146,30 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, size: in
     return dict(sorted(out.items()))
 
 
-def _places(known: dict[str, dict[str, int]], numbers: dict[str, int], size: int) -> np.ndarray:
-    """For each language and n-gram of any profile its rank, 0 where the profile lacks it.
-    The profiles' n-grams have the lowest numbers."""
-    for profile in known.values():
-        for gram in profile:
-            numbers.setdefault(gram, len(numbers))
-    out = np.zeros((len(known), len(numbers)), np.int64)
+def places_of(known: dict[str, dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all profiles' n-grams, in order, and for each language and key the rank, 0
+    where the profile lacks it."""
+    keys = np.array(sorted({key_of(g) for profile in known.values() for g in profile}), np.uint64)
+    at = {int(k): i for i, k in enumerate(keys)}
+    out = np.zeros((len(known), len(keys)), np.int64)
     for i, profile in enumerate(known.values()):
         for gram, rank in profile.items():
-            out[i, numbers[gram]] = rank
-    return out
+            out[i, at[key_of(gram)]] = rank
+    return keys, out
 
 
-def out_of_place(numbers: np.ndarray, counts: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+def out_of_place(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     """The distance to each language, and how many n-grams were compared."""
-    order = np.sort(counts)
-    ranks = len(order) - np.searchsorted(order, counts, side="right") + 1
+    values, back, often = np.unique(counts, return_inverse=True, return_counts=True)
+    above = len(counts) - np.cumsum(often)  # n-grams that are more frequent than each value
+    ranks = (above + 1)[back]
     chosen = ranks <= size
-    numbers, ranks = numbers[chosen], ranks[chosen]
-    known = numbers < places.shape[1]
-    at = places[:, numbers[known]]
-    gaps = np.where(at > 0, np.minimum(np.abs(at - ranks[known]), size), size)
-    return gaps.sum(axis=1) + size * int((~known).sum()), len(numbers)
+    keys, ranks = keys[chosen], ranks[chosen]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    there = known[at] == keys
+    at = places[:, at[there]]
+    gaps = np.where(at > 0, np.minimum(np.abs(at - ranks[there]), size), size)
+    return gaps.sum(axis=1) + size * int((~there).sum()), len(keys)
 
 
 OUTPUT = ("detected_lang", "lang_distance", "lang_accepted")
@@ -150,21 +187,17 @@ def detected(docs: DataFrame, known: dict[str, dict[str, int]], accept: float =
     place = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        places = _places(known, grams.numbers, size)
+        keys, places = places_of(known)
         for batch in batches:
             langs, distances, accepted = [], [], []
             for value in batch.column(place).to_pylist():
-                grams.trimmed()
-                if not grams.numbers and known:
-                    _places(known, grams.numbers, size)
-                numbers, counts = grams.counts(value) if value and names else ((), ())
-                if not len(numbers):
+                found = stream(value) if value and names else ()
+                if not len(found):
                     langs.append(None)
                     distances.append(None)
                     accepted.append(False)
                     continue
-                d, n = out_of_place(numbers, counts, places, size)
+                d, n = out_of_place(*counted(found), keys, places, size)
                 i = int(d.argmin())
                 langs.append(names[i])
                 distances.append(float(d[i]) / (n * size))
