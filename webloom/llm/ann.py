@@ -4,11 +4,13 @@ Coarse centroids and the residuals' codebooks are trained by k-means on a bounde
 ``TRAIN`` rows of least hash. Every vector goes to the list of its nearest centroid, with one
 code for each of ``SUBSPACES`` parts of its residual. As a query it visits the lists of its
 nearest centroids, as many as ``TARGET`` of the true neighbours of ``QUERIES`` sample queries
-(found by brute force over all vectors) need. In a list the asymmetric distance table of the
-query's residual ranks the codes, and the best ``RERANK`` are ranked again by exact distance.
+(found by brute force over all vectors) need. A query's asymmetric distance tables (products of
+its parts with the codebooks, to which each list adds the query's distance to its centroid and
+each code a constant) rank the codes, and the best ``RERANK`` are ranked again by exact distance.
 
-A list's vectors and its queries meet in cells of at most ``CELL`` rows a side, so neither
-hot lists nor many queries grow a task.
+Near lists share a shard of about ``CELL`` vectors, and a longer list is cut into several, so a
+query travels once to each shard it visits, not once to each list. A shard meets its queries
+in cells of about ``CELL`` queries: neither hot lists nor many queries grow a task.
 
 Defined results: rows whose vector is null, empty, of another length than the longest common
 one (the most frequent, then the longer), or holds nulls or numbers that aren't finite have no
@@ -27,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import joined_small, written
 
-K, TRAIN, MAX_LISTS, SUBSPACES, CODES, QUERIES, TARGET, RERANK, CELL = 10, 16_384, 4096, 16, 256, 256, 0.98, 40, 20_000
+K, TRAIN, MAX_LISTS, SUBSPACES, CODES, QUERIES, TARGET, RERANK, CELL = 10, 16_384, 4096, 16, 256, 256, 0.98, 160, 20_000
+#: Queries and codes that are ranked at a time.
+ASKED, RANKED = 256, 2048
+BROADCAST_SHARDS = 100_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -79,13 +84,44 @@ class Index:
         near = np.argpartition(d, probes - 1, axis=1)[:, :probes]
         return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
 
-    def ranked(self, queries: np.ndarray, number: int, codes: np.ndarray, keep: int) -> np.ndarray:
-        """For each query the ``keep`` best of a list's codes by the asymmetric distance."""
-        residuals = queries - self.centroids[number]
-        d = np.zeros((len(queries), len(codes)))
+    def constants(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What of a code's distance to a query depends on the code and its list alone."""
+        out = np.zeros(len(codes))
         for j, (a, b, book) in enumerate(zip(self.bounds, self.bounds[1:], self.books)):
-            d += squared(residuals[:, a:b], book)[:, codes[:, j]]
-        return np.argpartition(d, keep - 1, axis=1)[:, :keep]
+            r = book[codes[:, j]]
+            out += (r * r).sum(1) + 2 * (r * self.centroids[lists, a:b]).sum(1)
+        return out
+
+    def ranked(self, queries: np.ndarray, visits: np.ndarray, lists: np.ndarray, codes: np.ndarray, constants: np.ndarray, keep: int) -> np.ndarray:
+        """For each query the places of the ``keep`` best codes by the asymmetric distance, -1
+        where it visits too few. ``visits``: whether a query visits a list; ``lists``: each
+        code's list."""
+        tables = [(-2.0 * (book @ queries[:, a:b].T)).astype(np.float32) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)]
+        coarse = np.where(visits, squared(queries, self.centroids), np.inf).astype(np.float32).T
+        d = np.empty((len(queries), len(codes)), np.float32)
+        for at in range(0, len(codes), RANKED):
+            part = slice(at, at + RANKED)
+            block = coarse[lists[part]] + constants[part, None].astype(np.float32)
+            for j, table in enumerate(tables):
+                block += table[codes[part, j]]
+            d[:, part] = block.T
+        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if len(codes) > keep else np.tile(np.arange(len(codes)), (len(queries), 1))
+        return np.where(np.isfinite(np.take_along_axis(d, near, 1)), near, -1)
+
+    def shards(self, rows: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each list's first shard and how many it has, by the lists' numbers of vectors."""
+        spread = self.centroids - self.centroids.mean(0)
+        axis = np.linalg.svd(spread, full_matrices=False)[2][0]
+        first, parts = np.zeros(len(rows), np.int64), np.maximum(1, -(-rows // cell))
+        number, held = 0, 0
+        for i in np.argsort(spread @ axis, kind="stable"):
+            if held and (held + rows[i] > cell or parts[i] > 1):
+                number, held = number + 1, 0
+            first[i] = number
+            held += rows[i]
+            if parts[i] > 1:
+                number, held = number + int(parts[i]), 0
+        return first, parts
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -96,7 +132,7 @@ def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.nda
     """``query row, neighbour id, squared distance`` of each query's best ``k``, exactly."""
     rows, found, distances = [], [], []
     for i, q in enumerate(queries):
-        at = slice(None) if chosen is None else chosen[i]
+        at = slice(None) if chosen is None else chosen[i][chosen[i] >= 0]
         others, them = ids[at], vectors[at]
         d = ((them - q) ** 2).sum(1)
         d[others == own[i]] = np.inf
@@ -126,7 +162,8 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = "float" if table.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     rows = rows.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (common["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -162,41 +199,66 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
         needed = order[[at[r["q"]] for r in homes], nearest(np.array([r["v"] for r in homes]), index.centroids)] if homes else np.zeros(1)
         probes = int(np.quantile(needed, TARGET, method="higher")) + 1
 
+    kind = vectors.schema["v"].dataType.simpleString()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1))
-                number, codes = index.encoded(v)
-                near = index.probed(v, probes)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(number, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))],
-                    ["vec_id", "v", "list", "codes", "probes"],
-                )
-
-    coded = written(vectors.mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary, probes array<int>"), "ann-lists")
-    asked = coded.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.explode("probes").alias("at"))
-    cells = lambda rows, at, name: rows.groupBy(at).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
+                number, codes = index.encoded(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
+
+    coded = written(vectors.mapInArrow(encode, f"vec_id long, v {kind}, list int, codes binary"), "ann-lists")
     # at most MAX_LISTS rows, whatever the table
-    counts = cells(coded, "list", "rows").join(cells(asked, "at", "columns"), F.col("list") == F.col("at")).select("list", "rows", "columns").collect()
-    grid = spark.createDataFrame(counts, "cell int, rows int, columns int")
+    rows = np.zeros(len(index.centroids), np.int64)
+    for r in coded.groupBy("list").count().collect():
+        rows[r["list"]] = r["count"]
+    first, parts = index.shards(rows, CELL)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                near = index.probed(_matrix(batch.column(1)), probes).astype(np.int32)
+                at = np.repeat(np.arange(len(near)), near.shape[1])
+                lists = near.ravel()
+                copies = parts[lists]
+                shard = np.repeat(first[lists], copies) + (np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
+                at, lists = np.repeat(at, copies), np.repeat(lists, copies)
+                order = np.lexsort((lists, shard, at))
+                at, lists, shard = at[order], lists[order], shard[order]
+                starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (shard[1:] != shard[:-1])]))
+                visits = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(lists, pa.int32()))
+                taken = pa.array(at[starts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(shard[starts], pa.int32()), visits], ["query_id", "query", "at", "visits"])
+
+    asked = written(coded.select("vec_id", "v").mapInArrow(ask, f"query_id long, query {kind}, at int, visits array<int>"), "ann-asked")
+    # at most MAX_LISTS rows and one for each CELL vectors
+    grid = asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("columns"))
+    homes = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
     place = lambda id_, by: F.pmod(F.xxhash64(id_), F.col(by)).cast("int")
-    base = coded.join(F.broadcast(grid), F.col("list") == F.col("cell")).select("list", place("vec_id", "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "vec_id", "v", "codes")
-    asked = asked.join(F.broadcast(grid), F.col("at") == F.col("cell")).select("at", place("query_id", "columns").alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "query_id", "query")
+    base = coded.join(F.broadcast(homes), F.col("list") == F.col("cell")).withColumn("shard", F.col("first") + place("vec_id", "parts"))
+    base = joined_small(base, grid, F.col("shard") == F.col("at"), "inner", BROADCAST_SHARDS).select("shard", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "vec_id", "v", "list", "codes")
+    asked = joined_small(asked, grid.toDF("home", "columns"), F.col("at") == F.col("home"), "inner", BROADCAST_SHARDS).select("at", place("query_id", "columns").alias("column"), "query_id", "query", "visits")
 
     def cell(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
         schema = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("distance", pa.float64())])
         if not queries.num_rows or not members.num_rows:
             return schema.empty_table()
         matrix = lambda column: _matrix(column.combine_chunks())
-        ids, own = np.asarray(members.column("vec_id")), np.asarray(queries.column("query_id"))
+        ids, own, lists = np.asarray(members.column("vec_id")), np.asarray(queries.column("query_id")), np.asarray(members.column("list"))
         v, q, keep = matrix(members.column("v")), matrix(queries.column("query")), max(RERANK, 4 * k)
         codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        constants = index.constants(lists, codes)
+        asked_lists = queries.column("visits").combine_chunks()
         out = []
-        for at in range(0, len(q), 512):
-            part = slice(at, at + 512)
-            chosen = index.ranked(q[part], key[0].as_py(), codes, keep) if len(ids) > keep else None
+        for at in range(0, len(q), ASKED):
+            part = slice(at, at + ASKED)
+            own_lists = asked_lists.slice(at, ASKED)
+            visits = np.zeros((len(own_lists), len(index.centroids)), bool)
+            visits[np.repeat(np.arange(len(own_lists)), np.asarray(own_lists.value_lengths())), np.asarray(own_lists.flatten())] = True
+            chosen = index.ranked(q[part], visits, lists, codes, constants, keep)
             out.append(_result(own[part], _best(q[part], ids, v, own[part], k, chosen)))
         return pa.Table.from_batches(out, schema)
 
-    found = asked.groupBy("at", "row", "column").cogroup(base.groupBy("list", "i", "j")).applyInArrow(cell, RESULT)
+    found = asked.groupBy("at", "column").cogroup(base.groupBy("shard", "j")).applyInArrow(cell, RESULT)
     return _top(found, k).select("vec_id", "neighbour_id", "rank", "distance")
