@@ -22,7 +22,7 @@ def parsed(df: DataFrame, snapshot: str = "dom_snapshot") -> DataFrame:
     is at the top."""
     row = F.from_json(snapshot, RESPONSE)
     bare = row["strings"].isNull() & row["documents"].isNull()
-    return df.withColumn("strings", F.when(bare, row["result.strings"]).otherwise(row["strings"])).withColumn("documents", F.when(bare, row["result.documents"]).otherwise(row["documents"]))
+    return df.withColumn("strings", F.when(bare, row["result"]["strings"]).otherwise(row["strings"])).withColumn("documents", F.when(bare, row["result"]["documents"]).otherwise(row["documents"]))
 
 
 def decoded(strings: Column, at: Column) -> Column:

@@ -23,8 +23,14 @@ def dump(df: DataFrame, vocabulary: Iterable[str], lower: bool = True) -> DataFr
 
 
 def dump_order(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``df`` with ``place``, each row's place in a dump."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(F.char_length(text), key)))
+    """``df`` with ``place``, each row's place in a dump: how many are shorter, and its rank
+    among those as long, so that no task has to sort the whole table. Only the histogram of
+    lengths, which is short, is summed in one place."""
+    sized = df.withColumn("dump_length", F.char_length(text))
+    shorter = sized.groupBy("dump_length").agg(F.count(F.lit(1)).alias("n"))
+    shorter = shorter.select(F.col("dump_length").alias("as_long"), (F.sum("n").over(W.orderBy(F.col("dump_length").asc_nulls_last())) - F.col("n")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("dump_length").orderBy(key))
+    return sized.withColumn("rank", rank).join(shorter, F.col("dump_length").eqNullSafe(F.col("as_long"))).withColumn("place", F.col("rank") + F.col("before")).drop("dump_length", "as_long", "before", "rank")
 
 
 def compare(dumped: DataFrame, vocabulary: Iterable[str], lower: bool = True) -> DataFrame:
