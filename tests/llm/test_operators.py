@@ -1,0 +1,169 @@
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from webloom.llm import ann, base, langid, line_dedup, minhash, mixing, packing, pii, queries, simhash, token_counts, token_store
+
+VOCABULARY = base.vocabulary_bytes()
+ENCODING = tiktoken.Encoding("test", pat_str=base.PATTERN, mergeable_ranks=base.ranks_of(VOCABULARY), special_tokens={})
+OPERATORS = {
+    "op2": langid.identified,
+    "op3": pii.pseudonymised,
+    "op4": token_counts.prefix_token_counts,
+    "op5": token_store.token_store,
+    "op6": line_dedup.deduplicated,
+    "op7": simhash.simhash,
+    "op8": mixing.mix_sources,
+    "op9": packing.pack,
+    "op10": minhash.near_duplicates,
+}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, Copies string, n_pii string, n_lines string, n_dropped string, gone string, row string, key string, kept string, lines string, left string, detected_lang string, mix_source string, low string"
+
+
+def odd_rows(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghilmnorstu", k=rng.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    long = "\n".join(prose(20) for _ in range(3000))
+    same = prose(60)
+    rows = [(i, prose(40) + "\n" + prose(30), "en", "web") for i in range(12)]
+    rows += [(20, None, "en", "web"), (21, "", "en", "web"), (22, " \n\t", None, None), (None, prose(50), "en", "web"), (None, prose(50), None, "books")]
+    rows += [(23, long, "en", "books"), (24, same, "en", "books"), (25, same, "en", "web"), (25, same, "en", "web"), (26, "!!! ???", "", ""), (27, "x", "en", "books"), (28, "é" * 5000, None, "web")]
+    extra = tuple("clash" for _ in range(14))
+    return spark.createDataFrame([(a, b, c, d, None if b is None else len(b), *extra) for a, b, c, d in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_empty_tables(spark, name):
+    docs = odd_rows(spark)
+    out = OPERATORS[name](docs)
+    found = out.collect()
+    if name in ("op2", "op3", "op4", "op6", "op7"):  # a row for each row
+        assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in docs.collect())
+    if name == "op3":
+        assert {r["text"] for r in found if r["n_pii"] == 0} <= {r["text"] for r in docs.collect()}
+    assert all(r["kind"] == "node" for r in OPERATORS[name](docs.limit(0)).collect()) if name == "op5" else OPERATORS[name](docs.limit(0)).count() == 0
+
+
+def test_stages_keep_odd_columns_and_bear_empty_tables(spark):
+    for docs in (odd_rows(spark), odd_rows(spark).limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            docs = base.written(out, "test")
+        corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_pipeline_end(spark, sf):
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert rows and len({(r["bin"], r["place"]) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLES[name]).df()
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    assert sorted(map(str, got[order].astype(str).values.tolist())) == sorted(map(str, want[order].astype(str).values.tolist()))
+
+
+def test_n_grams_against_slices():
+    rng = random.Random(1)
+    for _ in range(100):
+        text = "".join(rng.choices("abÉé ß1,'\n日", k=rng.randint(0, 60)))
+        want = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            padded = f" {word} "
+            want.update(g for n in range(1, 6) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+        found, names = langid.stream(text), {}
+        langid.spelled(found, names)
+        keys, counts = langid.counted(found)
+        assert {names[k]: n for k, n in zip(keys.tolist(), counts.tolist())} == want
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    found = langid.stream("der hund und die katze " * 50)
+    whole = [x.tolist() for x in langid.counted(found)]
+    monkeypatch.setattr(langid, "BLOCK", 17)
+    assert [x.tolist() for x in langid.counted(found)] == whole
+
+
+def test_pseudonyms_are_linked_valid_and_undone():
+    names, back = pii.Pseudonyms(b"k", False), pii.Pseudonyms(b"k", True)
+    text = "card 4111 1111 1111 1111, mail a.b@example.org, born 1984-02-29, host 10.2.3.4, again 4111111111111111."
+    new, n = names.of(text)
+    assert n == 5 and "4111" not in new and "example.org" not in new
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    card = digits(new.split(",")[0])
+    assert card == digits(new.rsplit("again", 1)[1]) and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    assert back.of(new) == (text, 5)
+    assert names.of("order 12345, no data") == ("order 12345, no data", 0)
+
+
+def test_prefix_counts_against_encoding():
+    counter = token_counts.PrefixCounter(VOCABULARY)
+    for text in ["Hello  world, it's\n\n 3.14 they're!", "naïve 日本語  🙂 x", "", "   ", "a'll b 'll", "tab\t\tand \r\n end "]:
+        assert token_counts.running(counter.table(text)).tolist() == [len(ENCODING.encode_ordinary(text[:i])) for i in range(len(text) + 1)]
+
+
+def test_store_is_rebuilt(spark):
+    docs = odd_rows(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    out = {r["doc_id"]: r for r in token_store.reconstructed(token_store.token_store(docs)).collect()}
+    for r in docs.collect():
+        if r["text"] is not None:
+            assert out[r["doc_id"]]["intact"] and np.frombuffer(out[r["doc_id"]]["ids"], "<u2").tolist() == ENCODING.encode_ordinary(r["text"])
+
+
+def test_mixing_copies_by_rate(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "x" if i < 300 else "y") for i in range(400)], "doc_id long, text string, source string")
+    n = {r["source"]: r["count"] for r in mixing.mix_sources(docs, {"x": 1, "y": 1}).groupBy("source").count().collect()}
+    assert n["y"] == 200 and 170 < n["x"] < 230
+
+
+def test_packing_fills_sequences(spark):
+    rng = random.Random(2)
+    lengths = [(i, rng.randint(0, 700)) for i in range(2000)] + [(None, 5), (1, 5)]
+    rows = packing.pack(spark.createDataFrame([(i, "x") for i in range(1)], "doc_id long, text string"), lengths=spark.createDataFrame(lengths, "doc_id long, n_tokens long"), capacity=512).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["bin"]].append((r["start"], r["start"] + r["n_tokens"]))
+    for spans in bins.values():
+        spans.sort()
+        assert spans[-1][1] <= 512 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    total = sum(n for _, n in lengths)
+    assert sum(r["n_tokens"] for r in rows) == total and len(bins) < 1.08 * total / 512
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghilmnorstu", k=6)) for _ in range(3000)]
+    texts = [rng.choices(words, k=200) for _ in range(60)]
+    near = list(texts[7])
+    near[50], near[120] = "changed", "words"
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, " ".join(texts[3]).upper()), (101, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in minhash.near_duplicates(docs).collect()} == {(3, 100), (7, 101)}
+    assert {r[0] for r in minhash.without_near_duplicates(docs).select("doc_id").collect()} == set(range(60))
+
+
+def test_neighbours_against_brute_force(spark):
+    x = np.random.default_rng(6).normal(size=(600, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, []), (None, x[0].tolist()), (1002, [1.0]), (1003, [float("nan")] * 16), (5, x[5].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("distance", F.lit("clash"))
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(table).collect():
+        got[r["vec_id"]].add(r["neighbour_id"])
+    assert set(got) == set(range(600))
+    d = ann.squared(x.astype(float), x.astype(float))
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([len(got[i] & set(np.argsort(d[i])[:10].tolist())) / 10 for i in range(600)]) >= 0.9
+    assert ann.nearest_neighbours(table.limit(0)).count() == 0
