@@ -7,10 +7,12 @@ e-mail addresses (top-level domain kept), access keys, and the values of passwor
 assignments. Each format is a finite domain, and the replacement a permutation of it: an
 unbalanced Feistel network of ``ROUNDS`` rounds over mixed-radix numbers, keyed by BLAKE2b,
 walked on until the value is valid. So equal values get equal pseudonyms in whatever
-document, place or separators; different ones stay different; the key alone undoes it.
+document, place or separators; different ones stay different; the key alone undoes it, but
+where a number stands beside digits or capitals with which its pseudonym happens to be valid.
 
 Defined results: null and empty texts stay; text without valid values comes out unchanged,
-letter by letter; a number that no validator accepts stays; where candidates overlap the one
+letter by letter; a number that no validator accepts stays, but shorter ends (an IBAN's by its
+country's length) and later beginnings in it are tried; where candidates overlap the one
 that begins first wins, then the order of ``FINDERS``; scanning is linear in the text, however
 long; repeated rows come out alike; other columns are untouched but for ``n_chars``, which,
 where it is there, follows the new text; ``n_pii`` replaces a column of that name.
@@ -212,6 +214,43 @@ class Pseudonyms:
     def _replaced(self, kind: str, value: str) -> str | None:
         return getattr(self, kind)(value)
 
+    def _at(self, text: str, m: re.Match) -> Iterator[tuple[int, int, str]]:
+        """What is valid where ``m`` begins, if anything: of each kind the longest match, then
+        the shorter ones."""
+        start = m.start()
+        for kind in list(FINDERS)[list(FINDERS).index(m.lastgroup) :]:
+            whole = m if kind == m.lastgroup else ALONE[kind].match(text, start)
+            if not whole:
+                continue
+            if (new := self.replaced(kind, whole[0])) is not None and kind not in ("card", "iban"):
+                yield start, whole.end(), new
+                return
+            ends = [e for e in range(whole.end(), start + 6, -1) if text[e - 1] not in " -." and TAILS[kind].match(text, e) and BODIES[kind].fullmatch(text, start, e)]
+            if kind == "iban" and (sized := IBANS.get(text[start : start + 2])) and (x := sized.match(text, start)):
+                ends.insert(0, x.end())
+            if kind == "card":
+                ends = self._card_ends(text, start, whole.end(), ends)
+            for end in ends:
+                if (new := self.replaced(kind, text[start:end])) is not None:
+                    yield start, end, new
+                    return
+
+    def _card_ends(self, text: str, start: int, whole: int, ends: list[int]) -> list[int]:
+        """In the order to try: usual groupings first, 16 digits before others; then, unless a
+        card in a usual grouping begins further on, the whole match, and what is cut off it
+        where no group but the last is of less than three digits."""
+        usual = [e for e in ends if CARD_FORM.fullmatch(text, start, e)]
+        usual.sort(key=lambda e: sum(c in DIGITS for c in text[start:e]) != 16)
+        at = start + 1
+        while (m := CARD_16.search(text, at, min(len(text), whole + 20))) and m.start() < whole:
+            if self.replaced("card", m[0]) is not None:
+                return usual
+            at = m.start() + 1
+        head = text[start : start + 3]
+        short = " " in head or "-" in head
+        long = lambda e: not short and all(len(g) > 2 for g in re.split("[ -]", text[start:e])[:-1])
+        return usual + [e for e in ends if e not in usual and (e == whole or long(e))]
+
     def of(self, text: str) -> tuple[str, int]:
         """The text with pseudonyms, and how many there are."""
         spans: list[tuple[int, int, str]] = []
@@ -225,13 +264,12 @@ class Pseudonyms:
                 spans.append((left.start(), right.end(), self.replaced("email", text[left.start() : right.end()])))
             at = text.find("@", at + 1)
         if HAS_DIGIT.search(text):
-            for m in FOUND.finditer(text):
-                kind = m.lastgroup
-                new = self.replaced(kind, m[0])
-                if new is None and kind == "card":  # a number may still be a telephone's
-                    new = self.replaced("phone", m[0]) if PHONE.fullmatch(m[0]) else None
-                if new is not None:
-                    spans.append((m.start(), m.end(), new))
+            at = 0
+            while m := FOUND.search(text, at):
+                at = m.start() + 1
+                for start, end, new in self._at(text, m):
+                    spans.append((start, end, new))
+                    at = end
         if not spans:
             return text, 0
         out, done, n = [], 0, 0
@@ -243,18 +281,34 @@ class Pseudonyms:
         return "".join(out), n
 
 
-#: Kinds in order of precedence at one place; all quantifiers are bounded.
+#: Kinds in order of precedence at one place: what may stand before, the value, what may
+#: follow. All quantifiers are bounded.
+BEFORE, AFTER = r"(?<!\w)(?<!\d[.-])", r"(?![\w-])"
 FINDERS = {
-    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-])(?!\.\d)",
-    "ipv4": r"\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)",
-    "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|\+1\d{10}(?!\w)|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5}(?![\w-])",
-    "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)",
-    "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)",
+    "date": (BEFORE, r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})", r"(?:(?=[Tt_]\d{2})|(?![\w/-])(?!\.\d))"),
+    "ipv4": (BEFORE, r"\d{1,3}(?:\.\d{1,3}){3}", r"(?![\w-])(?!\.\d)"),
+    "ssn": (BEFORE, r"\d{3}-\d{2}-\d{4}", AFTER),
+    "phone": (BEFORE, r"(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5})", AFTER),
+    "card": (r"(?<!\w)(?<!\d\.)", r"\d(?:[ -]?\d){12,18}", r"(?!\w)"),
+    "iban": (BEFORE, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}", r"(?!\w)"),
+    "access_key": (BEFORE, r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"(?!\w)"),
 }
-FOUND = re.compile(r"(?<![\w.-])(?:" + "|".join(f"(?P<{k}>{v})".replace(r"\1", "(?P=sep)").replace("([/.])", "(?P<sep>[/.])") for k, v in FINDERS.items()) + ")", re.A)
-PHONE = re.compile(FINDERS["phone"], re.A)
+FOUND = re.compile("|".join(f"(?P<{k}>{a}{v}{z})" for k, (a, v, z) in FINDERS.items()), re.A)
+ALONE = {k: re.compile(a + v + z, re.A) for k, (a, v, z) in FINDERS.items()}
+BODIES = {k: re.compile(v, re.A) for k, (_, v, _) in FINDERS.items()}
+TAILS = {k: re.compile(z, re.A) for k, (_, _, z) in FINDERS.items()}
+CARD_16 = re.compile(r"(?<!\w)(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w)", re.A)
+CARD_FORM = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}(?:\1\d{4})?(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}", re.A)
+#: Lengths of the countries' account numbers, after the IBAN registry.
+IBAN_LENGTHS = {
+    int(x.split(":")[0]): x.split(":")[1].split()
+    for x in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+        "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM",
+        "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    )
+}
+IBANS = {c: re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?!\w)", re.A) for n, countries in IBAN_LENGTHS.items() for c in countries}
 HAS_DIGIT = re.compile("[0-9]")
 HAS_SECRET = re.compile("password|passwd|token|secret|api_key", re.I)
 SECRET = re.compile(r"\b(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,256}", re.I | re.A)
