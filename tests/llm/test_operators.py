@@ -131,6 +131,19 @@ def test_values_beside_other_digits_and_capitals(before, value, after):
     assert n == 1 and new.startswith(before) and new.endswith(after) and value not in new
 
 
+def test_numbers_are_judged_by_format():
+    values = ["+1 (017) 555-7713", "+1 555-123-4567", "+10175557713", "(017) 555-7713", "233.254.104.120", "0.1.2.3", "255.255.255.255"]
+    for key in range(20):
+        names, back = pii.Pseudonyms(b"%d" % key), pii.Pseudonyms(b"%d" % key, True)
+        for value in values:
+            new, n = names.of(f"at {value}.")
+            assert n == 1 and value not in new and back.of(new) == (f"at {value}.", 1)
+    digits = lambda s: "".join(c for c in names.of(s)[0] if c.isdigit())[-10:]
+    assert digits("+1 (223) 555-7713") == digits("223-555-7713") and digits("+1 (017) 555-7713") == digits("+10175557713")
+    for text in ("017-555-7713", "256.1.1.1", "010.1.2.3"):
+        assert names.of(text) == (text, 0)
+
+
 def test_clean_numbers_stay_and_scanning_is_linear():
     names = pii.Pseudonyms(b"k")
     for text in ("version 1.2.3.4.5", "pi 3.14159265358979323", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "id a4111111111111111", "41111111111111111111111"):

@@ -12,7 +12,9 @@ where a number stands beside digits or capitals with which its pseudonym happens
 
 Defined results: null and empty texts stay; text without valid values comes out unchanged,
 letter by letter; a number that no validator accepts stays, but shorter ends (an IBAN's by its
-country's length) and later beginnings in it are tried; where candidates overlap the one
+country's length) and later beginnings in it are tried; addresses are four octets of 0 to 255 without
+leading zeros; +1 or a bracketed area code and ten digits are a telephone number, while ten
+bare digits in groups need an area code and exchange that don't begin with 0 or 1; where candidates overlap the one
 that begins first wins, then the order of ``FINDERS``; scanning is linear in the text, however
 long; repeated rows come out alike; other columns are untouched but for ``n_chars``, which,
 where it is there, follows the new text; ``n_pii`` replaces a column of that name.
@@ -156,16 +158,18 @@ class Pseudonyms:
             national = digits[len(code) :]
             return refilled(m, code + self._walk(national, [DIGITS] * len(national), "phone" + code), DIGITS.__contains__)
         code, number = digits[:-10], digits[-10:]
-        if len(number) < 10 or code not in ("", "1") or not area(number):
+        if len(number) < 10 or code not in ("", "1") or not (area(number) or m[0] in "+("):
             return None
-        return refilled(m, code + self._walk(number, [DIGITS] * 10, "phone1", area), DIGITS.__contains__)
+        # what reads as a number without +1 or brackets goes to such, and the rest to the rest
+        usual = area(number)
+        return refilled(m, code + self._walk(number, [DIGITS] * 10, "phone1", lambda n: area(n) == usual), DIGITS.__contains__)
 
     def ipv4(self, m: str) -> str | None:
         parts = [int(x) for x in m.split(".")]
-        if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")) or not 1 <= parts[0] <= 223:
+        if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
             return None
         x = int.from_bytes(bytes(parts), "big")
-        x = self.feistel.permuted(x, 1 << 32, b"ipv4", lambda n: 1 <= n >> 24 <= 223, self.undo)
+        x = self.feistel.permuted(x, 1 << 32, b"ipv4", undo=self.undo)
         return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
     def date(self, m: str) -> str | None:
