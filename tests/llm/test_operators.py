@@ -210,3 +210,27 @@ def test_neighbours_against_brute_force(spark):
     np.fill_diagonal(d, np.inf)
     assert np.mean([len(got[i] & set(np.argsort(d[i])[:10].tolist())) / 10 for i in range(600)]) >= 0.9
     assert ann.nearest_neighbours(table.limit(0)).count() == 0
+
+
+def test_neighbours_of_copies_in_order(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    v = np.concatenate([np.repeat(base[:2], 400, axis=0), np.repeat(base[2:10], 3, axis=0), base[10:]])
+    ids = rng.permutation(len(v)).tolist()
+    table = spark.createDataFrame(list(zip(ids, v.tolist())), "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.nearest_neighbours(table, k=10, lists=4, probes=4).orderBy("vec_id", "rank").collect():
+        found[r["vec_id"]].append((r["rank"], r["neighbour_id"]))
+    for i, x in zip(ids, v):
+        d = ((v - x) ** 2).sum(1)
+        want = sorted((a, j) for a, j in zip(d, ids) if j != i)[:10]
+        assert found[i] == [(n + 1, j) for n, (_, j) in enumerate(want)]
+
+
+def test_ties_at_the_edge_are_ranked_again():
+    rng = np.random.default_rng(6)
+    index = ann.Index(rng.normal(size=(300, 8)), 2)
+    codes = np.repeat(index.encoded(rng.normal(size=(1, 8)))[1], 500, axis=0)
+    lists = np.zeros(500, np.int64)
+    chosen = index.ranked(rng.normal(size=(3, 8)), np.ones((3, 2), bool), lists, codes, index.constants(lists, codes), 160)
+    assert [len(x) for x in chosen] == [500] * 3

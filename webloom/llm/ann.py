@@ -6,7 +6,10 @@ code for each of ``SUBSPACES`` parts of its residual. As a query it visits the l
 nearest centroids, as many as ``TARGET`` of the true neighbours of ``QUERIES`` sample queries
 (found by brute force over all vectors) need. A query's asymmetric distance tables (products of
 its parts with the codebooks, to which each list adds the query's distance to its centroid and
-each code a constant) rank the codes, and the best ``RERANK`` are ranked again by exact distance.
+each code a constant) rank the codes, and the best ``RERANK``, with all that tie with the last
+of them, are ranked again by exact distance. Equal vectors are one entry, the one of the least
+``vec_id``; of its copies those of least ``vec_id`` are put in afterwards, so copies by the
+thousand neither crowd out others nor lose their order.
 
 Near lists share a shard of about ``CELL`` vectors, and a longer list is cut into several, so a
 query travels once to each shard it visits, not once to each list. A shard meets its queries
@@ -92,9 +95,9 @@ class Index:
             out += (r * r).sum(1) + 2 * (r * self.centroids[lists, a:b]).sum(1)
         return out
 
-    def ranked(self, queries: np.ndarray, visits: np.ndarray, lists: np.ndarray, codes: np.ndarray, constants: np.ndarray, keep: int) -> np.ndarray:
-        """For each query the places of the ``keep`` best codes by the asymmetric distance, -1
-        where it visits too few. ``visits``: whether a query visits a list; ``lists``: each
+    def ranked(self, queries: np.ndarray, visits: np.ndarray, lists: np.ndarray, codes: np.ndarray, constants: np.ndarray, keep: int) -> list[np.ndarray]:
+        """For each query the places of the ``keep`` best codes by the asymmetric distance and
+        of all that tie with the last; fewer where it visits too few. ``visits``: whether a query visits a list; ``lists``: each
         code's list."""
         tables = [(-2.0 * (book @ queries[:, a:b].T)).astype(np.float32) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)]
         coarse = np.where(visits, squared(queries, self.centroids), np.inf).astype(np.float32).T
@@ -105,8 +108,8 @@ class Index:
             for j, table in enumerate(tables):
                 block += table[codes[part, j]]
             d[:, part] = block.T
-        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if len(codes) > keep else np.tile(np.arange(len(codes)), (len(queries), 1))
-        return np.where(np.isfinite(np.take_along_axis(d, near, 1)), near, -1)
+        edge = np.partition(d, keep - 1, axis=1)[:, keep - 1] if len(codes) > keep else np.full(len(d), np.inf, np.float32)
+        return [np.flatnonzero((row <= e) & np.isfinite(row)) for row, e in zip(d, edge)]
 
     def shards(self, rows: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
         """Each list's first shard and how many it has, by the lists' numbers of vectors."""
@@ -128,11 +131,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, chosen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``query row, neighbour id, squared distance`` of each query's best ``k``, exactly."""
     rows, found, distances = [], [], []
     for i, q in enumerate(queries):
-        at = slice(None) if chosen is None else chosen[i][chosen[i] >= 0]
+        at = slice(None) if chosen is None else chosen[i]
         others, them = ids[at], vectors[at]
         d = ((them - q) ** 2).sum(1)
         d[others == own[i]] = np.inf
@@ -183,7 +186,10 @@ def exact_neighbours(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k
 def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, probes: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, neighbour_id, rank, distance`` (squared Euclidean): ``k`` others of each vector."""
     spark = table.sparkSession
-    vectors = written(valid_vectors(table, vec_id, embedding), "ann-vectors")
+    copies = W.partitionBy("v").orderBy("vec_id")
+    members = valid_vectors(table, vec_id, embedding).withColumn("copy", F.row_number().over(copies)).withColumn("least", F.first("vec_id").over(copies))
+    members = written(members.withColumn("v", F.when(F.col("copy") == 1, F.col("v"))), "ann-vectors")
+    vectors = members.where("copy = 1").select("vec_id", "v")
     n = vectors.count()
     if not n:
         return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
@@ -261,4 +267,17 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
         return pa.Table.from_batches(out, schema)
 
     found = asked.groupBy("at", "column").cogroup(base.groupBy("shard", "j")).applyInArrow(cell, RESULT)
-    return _top(found, k).select("vec_id", "neighbour_id", "rank", "distance")
+    found = _top(found, k).select("vec_id", "neighbour_id", "rank", "distance")
+    return found if members.where("copy > 1").isEmpty() else _with_copies(members, found, k)
+
+
+def _with_copies(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The neighbours of all ``members`` from those ``found`` among distinct vectors. ``k``
+    distinct ones and as many copies of each are enough, and one more as nobody is its own."""
+    near = found.select("vec_id", "neighbour_id", "distance").union(members.where("copy = 1").select("vec_id", "vec_id", F.lit(0.0)))
+    ids = members.where(f"copy <= {int(k) + 1}").select(F.col("least").alias("neighbour_id"), F.col("vec_id").alias("id"))
+    near = _top(near.join(ids, "neighbour_id").select("vec_id", F.col("id").alias("neighbour_id"), "distance"), k + 1)
+    best = near.groupBy(F.col("vec_id").alias("least")).agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("best"))
+    others = F.slice(F.filter("best", lambda x: x["neighbour_id"] != F.col("vec_id")), 1, k)
+    out = members.select("vec_id", "least").join(best, "least").select("vec_id", F.posexplode(others).alias("at", "x"))
+    return out.select("vec_id", "x.neighbour_id", (F.col("at") + 1).alias("rank"), "x.distance")
