@@ -127,6 +127,17 @@ def test_vocabulary_is_saved_and_used(spark, tmp_path):
     assert out[2] is None and out[3] == ["low"] and "".join(out[1]).replace("##", "") == "lowlower[LONG]"
 
 
+def test_training_counts_all_words_whatever_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "KEPT_MERGES", 3)
+    rng = random.Random(4)
+    rows = [(["".join(rng.choices("abcaé", k=rng.randint(0, 7))) for _ in range(9)] + ["[PAD]", "aaaa"],) for _ in range(40)] + [(["zyß"],), (None,)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    whole = vocabulary.train(df, 40)
+    assert "##ß" in whole and vocabulary.train(df, 40, max_words=3) == whole
+    few = df.where("array_contains(tokens, 'zyß')")
+    assert vocabulary.train(few, 500, max_words=0) == vocabulary.train(few, 500)
+
+
 def test_jobs_sources_sinks_and_stream(spark, tmp_path):
     rows = [{"source_index": i, "displayed_url": "u", "dom_snapshot": page("word " * (3 - i))} for i in range(3)]
     (tmp_path / "in").mkdir()

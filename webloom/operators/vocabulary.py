@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .arrow import with_columns
 BASE_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 SPECIAL_TOKENS = ("[BASE64]", "[LONG]")
 DEFAULT_SIZE, MAX_WORDS, MAX_LENGTH = 1024, 500_000, 1 << 27
+#: Merges after which the cluster keeps the words as they are split by then.
+KEPT_MERGES = 32
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -26,6 +29,23 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "token").limit(k)
 
 
+def split_word(word: str) -> list[str]:
+    return [word[0], *(f"##{c}" for c in word[1:])]
+
+
+def merged_at(parts: list[str], pair: tuple[str, str], merged: str) -> list[str]:
+    """``parts`` with ``merged`` for each ``pair``, from the left."""
+    new, i = [], 0
+    while i < len(parts):
+        if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
+            new.append(merged)
+            i += 2
+        else:
+            new.append(parts[i])
+            i += 1
+    return new
+
+
 def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: Iterable[str] = SPECIAL_TOKENS) -> list[str]:
     """A vocabulary of at most ``size`` entries: special tokens, the alphabet (continuations
     marked ``##``), then the results of merging the most frequent neighbouring pieces."""
@@ -34,7 +54,7 @@ def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: I
     for word, n in words:
         if word and word not in special:
             counts[word] += n
-    pieces = {w: [w[0], *(f"##{c}" for c in w[1:])] for w in counts}
+    pieces = {w: split_word(w) for w in counts}
     letters = Counter()
     for w, parts in pieces.items():
         for p in parts:
@@ -52,17 +72,10 @@ def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: I
         merged = best[0] + best[1][2:]
         out.setdefault(merged)
         for w in where.pop(best):
-            parts, new = pieces[w], []
+            parts = pieces[w]
             for pair in zip(parts, parts[1:]):
                 pairs[pair] -= counts[w]
-            i = 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    new.append(merged)
-                    i += 2
-                else:
-                    new.append(parts[i])
-                    i += 1
+            new = merged_at(parts, best, merged)
             pieces[w] = new
             for pair in zip(new, new[1:]):
                 pairs[pair] += counts[w]
@@ -72,13 +85,69 @@ def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: I
 
 
 def train(df: DataFrame, size: int = DEFAULT_SIZE, tokens: str = "tokens", lower: bool = True, max_words: int = MAX_WORDS) -> list[str]:
-    """A vocabulary from tokenized rows. Words are counted by the cluster; the driver sees
-    the ``max_words`` most frequent ones."""
+    """A vocabulary from tokenized rows. Words are counted by the cluster; the driver merges
+    them where there are at most ``max_words``, else the cluster does, with the same result."""
     from .tokenize import normalized
 
     words = df.select(normalized(F.col(tokens), SPECIAL_TOKENS, lower).alias("tokens"))
-    rows = most_frequent(token_counts(words), max_words).collect()
-    return build([(r["token"], r["n"]) for r in rows], size)
+    counts = token_counts(words).persist()
+    try:
+        if counts.count() > max_words:
+            return build_on_cluster(counts, size)
+        return build([(r["token"], r["n"]) for r in counts.collect()], size)
+    finally:
+        counts.unpersist()
+
+
+def build_on_cluster(counts: DataFrame, size: int = DEFAULT_SIZE, special: Iterable[str] = SPECIAL_TOKENS) -> list[str]:
+    """What ``build`` gives for ``token, n`` of any number of words: a job for each merge, of
+    which the driver sees the best pair only."""
+    special = [*BASE_TOKENS, *sorted(special)]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([split_word(w) for w in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["parts", "n"])
+
+    def merging(merges: list[tuple[str, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for parts in batch.column(0).to_pylist():
+                    for pair in merges:
+                        if pair[0] in parts and pair[1] in parts:
+                            parts = merged_at(parts, pair, pair[0] + pair[1][2:])
+                    out.append(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), batch.column(1)], ["parts", "n"])
+
+        return run
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = Counter()
+            for parts, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for pair in zip(parts, parts[1:]):
+                    pairs[pair] += n
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)] + [pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
+
+    schema = "parts array<string>, n long"
+    words = counts.where((F.length("token") > 0) & ~F.col("token").isin(special)).select("token", "n").mapInArrow(split, schema).persist()
+    letters = words.select(F.explode("parts").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p")
+    out = dict.fromkeys([*special, *(r["p"] for r in letters.limit(max(0, size - len(special))).collect())])
+    merges: list[tuple[str, str]] = []
+    while len(out) < size:
+        now = words.mapInArrow(merging(list(merges)), schema) if merges else words
+        if len(merges) >= KEPT_MERGES:
+            kept, before, merges = now.persist(), words, []
+            kept.count()
+            before.unpersist()
+            now = words = kept
+        best = now.mapInArrow(counting, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+        if best is None:
+            break
+        merges.append((best["a"], best["b"]))
+        out.setdefault(best["a"] + best["b"][2:])
+    words.unpersist()
+    return list(out)
 
 
 def pieces_of(word: str, vocabulary: dict[str, int] | set[str], longest: int = 100) -> list[str]:
