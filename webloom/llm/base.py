@@ -138,8 +138,7 @@ class ChunkCache:
         head, last = chunks[0], len(chunks) - 1
         if last and (not head or head[-1].isspace()):
             return self._slow(chunks)
-        get = self.rest.get
-        out = [get(c) for c in chunks]
+        out = list(map(self.rest.get, chunks))
         out[0] = self._first(head)
         if None in out:
             for i in range(1, last + 1):

@@ -27,6 +27,8 @@ from .base import DEFAULT_VOCABULARY, ChunkCache, encoding_of, ranks_of, vocabul
 
 BUDGETS = (512, 2048)
 PREFIX = 1000
+#: Documents whose new pieces are solved together; results don't depend on it.
+ROWS = 2000
 
 #: A run of white space with the piece after it; only between such segments does the
 #: pre-splitting rule cut alike for a text and all its prefixes.
@@ -34,96 +36,223 @@ SEGMENT = regex.compile(r"(\s*)((?<! )'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}+|[^\s\p{
 LONG_CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
+#: A chunk's pieces, where no other white space and no contraction can be in it.
+PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+#: Pieces that are solved at a time; results don't depend on it.
+GROUP = 1 << 16
+#: Solved pieces that a worker remembers before it forgets all; results don't depend on it.
+KNOWN = 300_000
+
+
+class Pairs:
+    """Which two tokens stay apart when put together, remembered in a table of fixed size
+    that forgets what its slots are needed for."""
+
+    def __init__(self, tokens: list[bytes], encode, bits: int = 20):
+        self.tokens, self.encode, self.bits = tokens, encode, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        at = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+        out = self.values[at]
+        missing = np.flatnonzero(self.keys[at] != keys)
+        if len(missing):
+            new, back = np.unique(keys[missing], return_inverse=True)
+            tokens, encode = self.tokens, self.encode
+            found = np.fromiter((encode(tokens[x] + tokens[y]) == [x, y] for x, y in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist())), bool, len(new))
+            out[missing] = found[back]
+            at = at[missing]
+            self.keys[at] = keys[missing]
+            # of two keys with one slot the one that is there counts
+            held = self.keys[at] == keys[missing]
+            self.values[at[held]] = out[missing][held]
+        return out
+
+
 class PrefixCounter:
-    """Counts for one vocabulary; pairs that were checked and short prefixes are remembered."""
+    """Counts for one vocabulary. Pieces that are new in a batch are solved together, one
+    place after another for all of them: at each place the vocabulary's trie, read from the
+    place backwards, gives the tokens that may end there, the shortest first."""
 
     SHORT = 48
 
     def __init__(self, vocabulary: bytes):
         self.ranks = ranks_of(vocabulary)
-        self.ends = {token[i:] for token in self.ranks for i in range(len(token))}
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
         self.encode = encoding_of(vocabulary)._core_bpe.encode_single_piece
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[bytes, tuple[int, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pairs = Pairs(tokens, self.encode)
+        self.pieces: dict[str, bytes] = {}
         self.cache = ChunkCache(self.deltas)
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for token, rank in self.ranks.items():
+            state = 0
+            for byte in reversed(token):
+                edge = state << 8 | byte
+                if edge not in edges:
+                    edges[edge] = len(ends)
+                    ends.append(-1)
+                state = edges[edge]
+            ends[state] = rank
+        self.edges = np.array(sorted(edges), np.int64)
+        self.targets = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
+
+    def solved(self, pieces: list[bytes]) -> list[bytes]:
+        """For each piece the change of the token count at each of its characters."""
+        order = sorted(range(len(pieces)), key=pieces.__getitem__)
+        sizes = np.array([len(pieces[i]) for i in order], np.int64)
+        n, width = len(order), int(sizes.max(initial=0))
+        mask = np.arange(width) < sizes[:, None]
+        data = np.zeros((n, width), np.uint8)
+        data[mask] = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
+        # what a piece shares with the one before it, in order, is solved there
+        differ = (data[1:] != data[:-1]) | ~mask[:-1]
+        shared = np.zeros(n, np.int64)
+        if width:
+            shared[1:] = np.where(differ.any(1), differ.argmax(1), width)
+        last, counts = np.full((width + 1, n), -1, np.int64), np.zeros((width + 1, n), np.int32)
+        data = np.ascontiguousarray(data.T)
+        for place in range(1, width + 1):
+            rows = np.flatnonzero(sizes >= place)
+            fresh = shared[rows] < place
+            todo = rows[fresh]
+            state = np.zeros(len(todo), np.int64)
+            for start in range(place - 1, -1, -1):
+                edge = state << 8 | data[start, todo]
+                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                if not (self.edges[at] == edge).all():
+                    raise ValueError("the vocabulary lacks single bytes")
+                state = self.targets[at]
+                token = self.ends[state]
+                ends = np.flatnonzero(token >= 0)
+                if start and len(ends):
+                    ends = ends[self.pairs.fit(last[start, todo[ends]], token[ends])]
+                done = todo[ends]
+                last[place, done], counts[place, done] = token[ends], counts[start, done] + 1
+                left = np.ones(len(todo), bool)
+                left[ends] = False
+                todo, state = todo[left], state[left]
+                if not len(todo):
+                    break
+            source = np.maximum.accumulate(np.where(fresh, rows, 0))
+            last[place, rows], counts[place, rows] = last[place, source], counts[place, source]
+        # a character ends where no continuation byte follows
+        ends = mask.copy()
+        ends[:, :-1] &= ~mask[:, 1:] | ((data.T[:, 1:] & 0xC0) != 0x80)
+        flat = counts[1:].T[ends]
+        stops = np.cumsum(ends.sum(1)).tolist()
+        starts = [0, *stops[:-1]]
+        before = np.concatenate([[0], flat[:-1]])
+        before[starts] = 0
+        changes = (flat - before).astype(np.int8).tobytes()
+        out = [b""] * n
+        for i, a, b in zip(order, starts, stops):
+            out[i] = changes[a:b]
+        return out
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.encode(a + b) == [self.ranks[a], self.ranks[b]]
-        return known
-
-    def piece(self, text: str) -> list[int]:
-        """Token counts of all prefixes of one piece, from 1 character to all."""
-        counts = self.pieces.get(text)
-        if counts is None:
-            counts = self.solve(text)
-            if len(text) <= self.SHORT:
-                if len(self.pieces) >= 300_000:
-                    self.pieces.clear()
-                self.pieces[text] = counts
-        return counts
-
-    def solve(self, text: str) -> list[int]:
-        data, ranks, ends, pairs = text.encode(), self.ranks, self.ends, self.pairs
-        n, begin = len(data), 1
-        counts, last = [0] * (n + 1), [b""] * (n + 1)
-        if n <= self.SHORT:
-            known = self.known
-            if len(known) > 500_000:
-                known.clear()
-            while begin <= n and (entry := known.get(data[:begin])) is not None:
-                counts[begin], last[begin] = entry
-                begin += 1
-        for i in range(begin, n + 1):
+    def learn(self, pieces: set[str]) -> None:
+        """Solves pieces of at most ``SHORT`` bytes that aren't known yet."""
+        new = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(new) > KNOWN:
+            self.pieces.clear()
+            new = list(pieces)
+        for at in range(0, len(new), GROUP):
+            group = new[at : at + GROUP]
+            self.pieces.update(zip(group, self.solved([p.encode() for p in group])))
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Solves what is new in a batch of texts: chunks of the plain kind whole, of others
+        their pieces. What it leaves out is solved alone when its turn comes."""
+        rest = self.cache.rest
+        chunks = set().union(*(t.split(" ") for t in texts if t))
+        new = chunks.difference(rest)
+        if len(rest) + len(new) > self.cache.entries:
+            rest.clear()
+            new = chunks
+        words, plain, other, most = [], [], set(), self.SHORT // 4
+        for chunk in new:
+            if chunk.isascii() and chunk.isalpha():
+                if len(chunk) < self.SHORT:
+                    words.append(chunk)
+                continue
+            whole = " " + chunk
+            parts = PIECES.findall(whole)
+            if "'" not in chunk and (parts[0] == whole if len(parts) == 1 else "".join(parts) == whole):
+                if len(chunk) < most or len(whole.encode()) <= self.SHORT:
+                    plain.append((chunk, parts))
+            elif chunk:
+                other.update(p for p in (*parts, *(p.lstrip(" ") for p in parts)) if len(p) <= most)
+        for at in range(0, len(words), GROUP):
+            group = words[at : at + GROUP]
+            rest.update(zip(group, self.solved([b" " + w.encode() for w in group])))
+        for at in range(0, len(plain), GROUP):
+            group = plain[at : at + GROUP]
+            self.learn({p for _, parts in group for p in parts})
+            get = self.pieces.__getitem__
+            rest.update((chunk, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for chunk, parts in group)
+        self.learn(other)
+
+    def changes(self, text: str) -> bytes:
+        """The change of the token count at each character of one piece."""
+        found = self.pieces.get(text)
+        if found is None:
+            counts = self.single(text)
+            found = bytes((b - a) & 255 for a, b in zip([0, *counts], counts))
+            if len(text) <= self.SHORT // 4:
+                self.pieces[text] = found
+        return found
+
+    def single(self, text: str) -> list[int]:
+        """Token counts of all prefixes of one piece of any length, in linear time."""
+        data, ranks, encode, tokens = text.encode(), self.ranks, self.encode, self.pairs.tokens
+        n, known = len(data), {}
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        for i in range(1, n + 1):
             for start in range(i - 1, -1, -1):
-                token = data[start:i]
-                if token in ranks:
-                    if start == 0 or pairs.get((last[start], token)) or self.fits(last[start], token):
-                        counts[i], last[i] = counts[start] + 1, token
-                        break
-                elif token not in ends:
-                    raise ValueError("the vocabulary lacks single bytes")
-            if n <= self.SHORT:
-                known[data[:i]] = counts[i], last[i]
+                token = ranks.get(data[start:i])
+                if token is None:
+                    continue
+                fits = start == 0 or known.get((last[start], token))
+                if fits is None:
+                    fits = known[last[start], token] = encode(tokens[last[start]] + tokens[token]) == [last[start], token]
+                if fits:
+                    counts[i], last[i] = counts[start] + 1, token
+                    break
         if n == len(text):
             return counts[1:]
         return [counts[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
 
-    def chunk(self, text: str) -> list[int]:
-        out, base = [], 0
+    def deltas(self, text: str) -> bytes:
+        out = []
         for space, word, rest in SEGMENT.findall(text):
-            run = space or rest
-            if run:
-                inside = self.piece(run)
-                out += [base + x for x in inside]
-                if not word:
-                    base += inside[-1]
-                    continue
-                base += inside[-2] if len(run) > 1 else 0
-                if run[-1] == " ":
-                    inside = self.piece(" " + word)[1:]
-                else:
-                    before = self.piece(run[-1])[-1]
-                    inside = [before + x for x in self.word(word)]
+            if run := space or rest:
+                inside = self.changes(run)
+                out.append(inside)
+                if word:
+                    # the last of the white space goes with the word, or stands alone before it
+                    if run[-1] == " ":
+                        after = self.changes(" " + word)
+                        first, after = after[0] + after[1] - inside[-1], after[2:]
+                    else:
+                        after = self.word(word)
+                        first, after = self.changes(run[-1])[0] + after[0] - inside[-1], after[1:]
+                    out.append(bytes([first & 255]))
+                    out.append(after)
             else:
-                inside = self.word(word)
-            out += [base + x for x in inside]
-            base += inside[-1]
-        return out
+                out.append(self.word(word))
+        return b"".join(out)
 
-    def word(self, word: str) -> list[int]:
-        counts = self.piece(word)
+    def word(self, word: str) -> bytes:
+        changes = self.changes(word)
         if word in LONG_CONTRACTIONS:
-            counts = [counts[0], counts[0] + self.piece(word[1])[0], counts[2]]
-        return counts
-
-    def deltas(self, text: str) -> bytes:
-        counts = [0, *self.chunk(text)]
-        return bytes((b - a) & 255 for a, b in zip(counts, counts[1:]))
+            # without its last letter it is no contraction but a sign and a letter
+            first, second = changes[0], self.changes(word[1])[0]
+            changes = bytes([first, second, (sum(changes) - first - second) & 255])
+        return changes
 
     def table(self, text: str) -> bytes:
         return b"".join(self.cache.parts(text))
@@ -169,9 +298,11 @@ def prefix_token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(data)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             tables, totals, at, fit = [], [], [], [[] for _ in budgets]
-            for value in batch.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            counter.prepare(texts)
+            for value in texts:
                 table = None if value is None else counter.table(value)
                 tables.append(table)
                 counts = None if table is None else running(table)
