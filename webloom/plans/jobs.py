@@ -49,6 +49,16 @@ def breaking_message(n: int) -> str:
     return f"Got {n} breaking input{'' if n == 1 else 's'}"
 
 
+def corpus_size(df: DataFrame) -> int | None:
+    """How many examples there are; None for a stream."""
+    return None if df.isStreaming else df.count()
+
+
+def corpus_message(size: int, examples: int | None) -> str:
+    many = f"{examples:,}" if examples else "an unknown number of"
+    return f"Generating up to {size:,} tokens from {many} examples:"
+
+
 def profile(df: DataFrame, tokens: str = "tokens", text: str = "dom_snapshot") -> DataFrame:
     """``characters, pre_tokens, characters_per_token`` of each row; null for no tokens."""
     n = F.size(tokens).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .crafted import CRAFTED
 from .functions import columns as C
 from .operators import diff, nodes, tokenize, vocabulary
 from .plans import jobs
@@ -268,3 +269,7 @@ def tokenization_diff(table):
     """Changes from a vocabulary of half the size to one of the whole."""
     both = _encoded(table, vocabulary.DEFAULT_SIZE // 2, "saved").join(_encoded(table, vocabulary.DEFAULT_SIZE, "new"), "page_id")
     return diff.diff(both, "saved", "new", "page_id")
+
+
+for _name, (_query, _sql) in CRAFTED.items():
+    query(_name, _sql)(_query)

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 ROW = "source_index long, displayed_url string, dom_snapshot string"
 
 
-def in_split(path: str, split: str | None) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, on whatever file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def in_split(spark: SparkSession, path: str, split: str | None) -> str:
     """The folder of a named split, where the data set has such folders."""
     folder = f"{path.rstrip('/')}/split={split}"
-    return folder if split and "://" not in path and os.path.isdir(folder) else path
+    return folder if split and exists(spark, folder) else path
 
 
 def read_snapshots(spark: SparkSession, path: str, format: str = "json", split: str | None = "train") -> DataFrame:
@@ -23,7 +29,7 @@ def read_snapshots(spark: SparkSession, path: str, format: str = "json", split:
     rows = spark.read.format(format)
     if format == "json":
         rows = rows.schema(ROW)
-    return rows.load(in_split(path, split))
+    return rows.load(in_split(spark, path, split))
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "dom_snapshot") -> DataFrame:
@@ -31,10 +37,6 @@ def read_lines(spark: SparkSession, path: str, column: str = "dom_snapshot") ->
     return spark.read.text(path).select(F.regexp_replace("value", r"[\s\p{Z}]+$", "").alias(column))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
 def stream_snapshots(spark: SparkSession, path: str, format: str = "json", files: int = 100) -> DataFrame:
     """The same rows from files as they arrive."""
     return spark.readStream.schema(ROW).format(format).option("maxFilesPerTrigger", files).load(path)
@@ -48,9 +50,9 @@ def cache_filename(dataset: str, split: str | None = None, folder: str = "") ->
 
 
 def cached_lines(spark: SparkSession, dataset: str, folder: str, split: str | None = None, format: str = "json") -> DataFrame:
-    """A data set's serialized snapshots by way of a cache of lines, made on first use."""
+    """A data set's serialized snapshots by way of a cache of lines, made on first use, and
+    again if it wasn't finished."""
     name = cache_filename(dataset, split, folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        read_snapshots(spark, dataset, format, split).select(F.col("dom_snapshot").alias("value")).write.text(name)
+    if not exists(spark, f"{name}/_SUCCESS"):
+        read_snapshots(spark, dataset, format, split).select(F.col("dom_snapshot").alias("value")).write.mode("overwrite").text(name)
     return read_lines(spark, name)
