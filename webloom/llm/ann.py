@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours of every vector: inverted lists of product-quantised residuals.
+"""Approximate nearest neighbours: inverted lists of product-quantised residuals.
 
 Coarse centroids and the residuals' codebooks are trained by k-means on a bounded sample, the
 ``TRAIN`` rows of least hash. Every vector goes to the list of its nearest centroid, with one
@@ -11,6 +11,9 @@ of them, are ranked again by exact distance. Equal vectors are one entry, the on
 ``vec_id``; of its copies those of least ``vec_id`` are put in afterwards, so copies by the
 thousand neither crowd out others nor lose their order.
 
+Queries are the vectors whose ``vec_id`` meets a condition, all of them if there is none; each
+is held against all vectors. Only codes in the lists that a query visits are scored for it.
+
 Near lists share a shard of about ``CELL`` vectors, and a longer list is cut into several, so a
 query travels once to each shard it visits, not once to each list. A shard meets its queries
 in cells of about ``CELL`` queries: neither hot lists nor many queries grow a task.
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 from .base import joined_small, written
 
 K, TRAIN, MAX_LISTS, SUBSPACES, CODES, QUERIES, TARGET, RERANK, CELL = 10, 16_384, 4096, 16, 256, 256, 0.98, 160, 20_000
-#: Queries and codes that are ranked at a time.
-ASKED, RANKED = 256, 2048
+#: Queries that are ranked at a time.
+ASKED = 256
+#: The queries of a search: every row whose id is divisible by 20, against all rows.
+DIVISIBLE = "vec_id % 20 = 0"
 BROADCAST_SHARDS = 100_000
 
 
@@ -95,21 +100,31 @@ class Index:
             out += (r * r).sum(1) + 2 * (r * self.centroids[lists, a:b]).sum(1)
         return out
 
-    def ranked(self, queries: np.ndarray, visits: np.ndarray, lists: np.ndarray, codes: np.ndarray, constants: np.ndarray, keep: int) -> list[np.ndarray]:
+    def ranked(self, queries: np.ndarray, visits: np.ndarray, starts: np.ndarray, codes: np.ndarray, constants: np.ndarray, keep: int) -> list[np.ndarray]:
         """For each query the places of the ``keep`` best codes by the asymmetric distance and
-        of all that tie with the last; fewer where it visits too few. ``visits``: whether a query visits a list; ``lists``: each
-        code's list."""
+        of all that tie with the last; fewer where it visits too few. ``visits``: whether a
+        query visits a list; ``starts``: where each list's codes begin, and where the last end."""
         tables = [(-2.0 * (book @ queries[:, a:b].T)).astype(np.float32) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)]
-        coarse = np.where(visits, squared(queries, self.centroids), np.inf).astype(np.float32).T
-        d = np.empty((len(queries), len(codes)), np.float32)
-        for at in range(0, len(codes), RANKED):
-            part = slice(at, at + RANKED)
-            block = coarse[lists[part]] + constants[part, None].astype(np.float32)
+        coarse = squared(queries, self.centroids).astype(np.float32)
+        places: list[list[np.ndarray]] = [[] for _ in queries]
+        scores: list[list[np.ndarray]] = [[] for _ in queries]
+        for at in np.flatnonzero((np.diff(starts) > 0) & visits.any(0)).tolist():
+            part, rows = slice(starts[at], starts[at + 1]), np.flatnonzero(visits[:, at])
+            # whole rows of a table are quicker to take where most queries want them
+            whole = 2 * len(rows) > len(queries)
+            block = np.repeat(constants[part, None].astype(np.float32), len(queries) if whole else len(rows), axis=1)
             for j, table in enumerate(tables):
-                block += table[codes[part, j]]
-            d[:, part] = block.T
-        edge = np.partition(d, keep - 1, axis=1)[:, keep - 1] if len(codes) > keep else np.full(len(d), np.inf, np.float32)
-        return [np.flatnonzero((row <= e) & np.isfinite(row)) for row, e in zip(d, edge)]
+                block += table[codes[part, j]] if whole else table[codes[part, j, None], rows]
+            block = np.ascontiguousarray((block[:, rows] if whole else block).T) + coarse[rows, at, None]
+            own = np.arange(starts[at], starts[at + 1])
+            for i, row in zip(rows.tolist(), block):
+                places[i].append(own)
+                scores[i].append(row)
+        out = []
+        for own, found in zip(places, scores):
+            place, score = np.concatenate(own or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.float32)])
+            out.append(place[score <= np.partition(score, keep - 1)[keep - 1]] if len(score) > keep else place)
+        return out
 
     def shards(self, rows: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
         """Each list's first shard and how many it has, by the lists' numbers of vectors."""
@@ -183,8 +198,9 @@ def exact_neighbours(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k
     return _top(vectors.select("vec_id", "v").mapInArrow(run, RESULT), k)
 
 
-def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, probes: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, neighbour_id, rank, distance`` (squared Euclidean): ``k`` others of each vector."""
+def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, probes: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding", queries: str | None = None) -> DataFrame:
+    """``vec_id, neighbour_id, rank, distance`` (squared Euclidean): ``k`` others, out of all
+    vectors, of each vector whose ``vec_id`` meets the condition ``queries``."""
     spark = table.sparkSession
     copies = W.partitionBy("v").orderBy("vec_id")
     members = valid_vectors(table, vec_id, embedding).withColumn("copy", F.row_number().over(copies)).withColumn("least", F.first("vec_id").over(copies))
@@ -237,7 +253,11 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
                 taken = pa.array(at[starts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(shard[starts], pa.int32()), visits], ["query_id", "query", "at", "visits"])
 
-    asked = written(coded.select("vec_id", "v").mapInArrow(ask, f"query_id long, query {kind}, at int, visits array<int>"), "ann-asked")
+    asking = coded.select("vec_id", "v")
+    if queries is not None:
+        # an entry is asked for if one of its copies is
+        asking = asking.join(members.where(queries).select(F.col("least").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "v")
+    asked = written(asking.mapInArrow(ask, f"query_id long, query {kind}, at int, visits array<int>"), "ann-asked")
     # at most MAX_LISTS rows and one for each CELL vectors
     grid = asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("columns"))
     homes = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
@@ -251,7 +271,9 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
         if not queries.num_rows or not members.num_rows:
             return schema.empty_table()
         matrix = lambda column: _matrix(column.combine_chunks())
+        members = members.sort_by("list")
         ids, own, lists = np.asarray(members.column("vec_id")), np.asarray(queries.column("query_id")), np.asarray(members.column("list"))
+        starts = np.searchsorted(lists, np.arange(len(index.centroids) + 1))
         v, q, keep = matrix(members.column("v")), matrix(queries.column("query")), max(RERANK, 4 * k)
         codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         constants = index.constants(lists, codes)
@@ -262,22 +284,23 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
             own_lists = asked_lists.slice(at, ASKED)
             visits = np.zeros((len(own_lists), len(index.centroids)), bool)
             visits[np.repeat(np.arange(len(own_lists)), np.asarray(own_lists.value_lengths())), np.asarray(own_lists.flatten())] = True
-            chosen = index.ranked(q[part], visits, lists, codes, constants, keep)
+            chosen = index.ranked(q[part], visits, starts, codes, constants, keep)
             out.append(_result(own[part], _best(q[part], ids, v, own[part], k, chosen)))
         return pa.Table.from_batches(out, schema)
 
     found = asked.groupBy("at", "column").cogroup(base.groupBy("shard", "j")).applyInArrow(cell, RESULT)
     found = _top(found, k).select("vec_id", "neighbour_id", "rank", "distance")
-    return found if members.where("copy > 1").isEmpty() else _with_copies(members, found, k)
+    return found if members.where("copy > 1").isEmpty() else _with_copies(members, found, k, queries)
 
 
-def _with_copies(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The neighbours of all ``members`` from those ``found`` among distinct vectors. ``k``
+def _with_copies(members: DataFrame, found: DataFrame, k: int, queries: str | None) -> DataFrame:
+    """The neighbours of ``members`` from those ``found`` among distinct vectors. ``k``
     distinct ones and as many copies of each are enough, and one more as nobody is its own."""
     near = found.select("vec_id", "neighbour_id", "distance").union(members.where("copy = 1").select("vec_id", "vec_id", F.lit(0.0)))
     ids = members.where(f"copy <= {int(k) + 1}").select(F.col("least").alias("neighbour_id"), F.col("vec_id").alias("id"))
     near = _top(near.join(ids, "neighbour_id").select("vec_id", F.col("id").alias("neighbour_id"), "distance"), k + 1)
     best = near.groupBy(F.col("vec_id").alias("least")).agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("best"))
     others = F.slice(F.filter("best", lambda x: x["neighbour_id"] != F.col("vec_id")), 1, k)
-    out = members.select("vec_id", "least").join(best, "least").select("vec_id", F.posexplode(others).alias("at", "x"))
+    asked = members if queries is None else members.where(queries)
+    out = asked.select("vec_id", "least").join(best, "least").select("vec_id", F.posexplode(others).alias("at", "x"))
     return out.select("vec_id", "x.neighbour_id", (F.col("at") + 1).alias("rank"), "x.distance")

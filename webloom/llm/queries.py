@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_nearest_neighbours": over("embeddings", ann.nearest_neighbours),
+    "op1_nearest_neighbours": over("embeddings", partial(ann.nearest_neighbours, queries=ann.DIVISIBLE)),
     "op2_language_id": over("documents", langid.identified),
     "op3_pseudonyms": over("documents", pii.pseudonymised),
     "op4_token_counts": over("documents", token_counts.prefix_token_counts),
