@@ -269,7 +269,7 @@ CHANGES_SQL = (
 
 
 def change_lines(table) -> DataFrame:
-    return diff.diff_lines(planted_changes(table), "doc_id")
+    return diff.diff_lines(planted_changes(table), "doc_id").drop("at")
 
 
 LINES_SQL = f"""WITH c AS ({CHANGES_SQL}) SELECT doc_id, place, unnest(list_filter([chr(27) || '[38;5;220m' || doc_id || ':' || chr(27) || '[0m', chr(27) || '[31m-' || a || chr(27) || '[0m', chr(27) || '[32m+' || b || chr(27) || '[0m'], lambda x: x IS NOT NULL)) AS line FROM c"""

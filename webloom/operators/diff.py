@@ -67,10 +67,11 @@ def diff(df: DataFrame, saved: str = "tokenized", new: str = "new_tokenized", ke
 
 
 def diff_lines(df: DataFrame, key: str = "source_index") -> DataFrame:
-    """``key, place, line``: coloured lines, each row's name before its first change."""
+    """``key, place, at, line``: coloured lines, each row's name before its first change;
+    ``at`` orders a change's lines."""
     colour = lambda code, text: F.concat(F.lit(f"\x1b[{code}m"), text, F.lit("\x1b[0m"))
     head = F.when(F.col("place") == 0, colour("38;5;220", F.concat(F.col(key).cast("string"), F.lit(":"))))
     minus = colour("31", F.concat(F.lit("-"), F.col("a")))
     plus = colour("32", F.concat(F.lit("+"), F.col("b")))
     lines = F.filter(F.array(head, minus, plus), lambda x: x.isNotNull())
-    return df.select(key, "place", F.explode(lines).alias("line"))
+    return df.select(key, "place", F.posexplode(lines).alias("at", "line"))

@@ -65,6 +65,11 @@ def profile(df: DataFrame, tokens: str = "tokens", text: str = "dom_snapshot") -
     return df.select("*", F.char_length(text).cast("long").alias("characters"), n.alias("pre_tokens")).withColumn("characters_per_token", F.when(F.col("pre_tokens") > 0, F.col("characters") / F.col("pre_tokens")))
 
 
+def profile_line(number: int, characters: int, tokens: int, seconds: float) -> str:
+    ratio = f"{characters / tokens:4.1f}" if tokens else "   -"
+    return f"example {number:3}: {characters:7} bytes -> {tokens:7} pre-tokens; {ratio} bytes/pre-token in {seconds * 1e3:9.3f} ms"
+
+
 def profile_total(profiled: DataFrame) -> DataFrame:
     """One row: examples, characters, tokens, and characters per token; 0 examples for none."""
     total = profiled.agg(F.count(F.lit(1)).alias("examples"), F.coalesce(F.sum("characters"), F.lit(0)).alias("characters"), F.coalesce(F.sum("pre_tokens"), F.lit(0)).alias("pre_tokens"))
