@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import cProfile
 import json
+import os
 import sys
 import time
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions.dom import tokenized
 from .functions.splitter import Splitter
@@ -35,7 +35,10 @@ def train(args: argparse.Namespace) -> None:
     if args.output is None:
         print(f"Output directory: {folder}\n")
     rows = _data(spark, args)
-    base = vocabulary.load(spark, args.base)[1] if args.base else {"lower": not args.cased}
+    if args.base:
+        base = (vocabulary.load_published(args.base) if os.path.isfile(args.base) else vocabulary.load(spark, args.base))[1]
+    else:
+        base = {"lower": not args.cased}
     print(jobs.corpus_message(args.size, args.examples or jobs.corpus_size(rows)))
     made = jobs.train_vocabulary(rows, args.size, lower=base["lower"])
     vocabulary.save(spark, made, folder, base["lower"])
@@ -104,7 +107,7 @@ def parser() -> argparse.ArgumentParser:
         return new
 
     new = command(train)
-    new.add_argument("--base", help="saved tokenizer whose normalization is taken over")
+    new.add_argument("--base", help="saved or published tokenizer whose normalization is taken over")
     new.add_argument("--cased", action="store_true", help="keep capitals")
     new.add_argument("-N", "--examples", type=int, help="size of the data set, if known")
     new.add_argument("-n", "--size", type=int, default=vocabulary.DEFAULT_SIZE, help="tokens, with special ones and the alphabet")

@@ -1,4 +1,4 @@
-"""Snapshots as relations: parsed, exploded, decoded and linearized by built-in operators.
+"""Snapshots as columns: parsed, exploded, decoded and linearized by built-in operators.
 
 The same tokens as the row-wise walk for every snapshot that isn't breaking. Closing events
 need no stack: an open node ``i`` closes just before the first later node whose parent stands
@@ -67,50 +67,99 @@ def subtree_ends(df: DataFrame, parents: str = "parents") -> DataFrame:
     return with_columns(df, [parents], lambda rows: [[None if p is None else ends_of(p) for p in rows]], "ends array<int>")
 
 
-def split_strings(uses: DataFrame, strings: DataFrame, key: str = "source_index") -> DataFrame:
-    """``key, mode, at, tokens`` for the distinct uses; each distinct text is split once in
-    each mode, however many snapshots hold it."""
-    texts = uses.distinct().join(strings, [key]).select(key, "mode", "at", decoded(F.col("strings"), F.col("at")).alias("text"))
-    distinct = texts.select("mode", "text").distinct()
-    made = with_columns(distinct, ["text", "mode"], lambda t, m: [[None if x is None else splitter_of().split(x, y) for x, y in zip(t, m)]], "tokens array<string>")
-    return texts.join(made, ["mode", "text"]).select(key, "mode", "at", "tokens")
+def _columns(df: DataFrame, key: str) -> DataFrame:
+    """``key, strings, docs``: each document's arrays, cut to the shortest of them, and which
+    strings are split in which mode; absent ones (negative) aren't."""
+
+    def cut(d: Column) -> Column:
+        n = F.least(*(F.size(d["nodes"][a]) for a in ARRAYS))
+        parents, types, names, values, attributes = (F.slice(d["nodes"][a], F.lit(1), n) for a in ARRAYS)
+        return F.struct(d["publicId"].alias("public"), d["systemId"].alias("system"), parents.alias("parents"), types.alias("types"), names.alias("names"), values.alias("values"), F.transform(attributes, attribute_pairs).alias("attrs"))
+
+    return df.select(key, "strings", F.transform("documents", cut).alias("docs"))
+
+
+def _uses(docs: str) -> dict[str, Column]:
+    over = lambda pick: F.array_distinct(F.flatten(F.transform(docs, pick)))
+    named = lambda d, doctype: F.filter(F.transform(d["types"], lambda t, i: F.when((t == DOCTYPE) == doctype, F.get(d["names"], i))), lambda x: x.isNotNull())
+    pairs = lambda d, field: F.flatten(F.transform(d["attrs"], lambda a: F.transform(a, lambda p: p[field])))
+    return {
+        "basic": over(lambda d: F.concat(F.array(d["public"], d["system"]), named(d, True), pairs(d, "name"))),
+        "full": over(lambda d: F.concat(d["values"], pairs(d, "value"))),
+        "tag": over(lambda d: named(d, False)),
+    }
+
+
+def _split_at(strings: list[str], uses: list[int], mode: str) -> list[list[str] | None]:
+    """The tokens of the used strings, each in its place."""
+    out: list[list[str] | None] = [None] * len(strings)
+    split = splitter_of().split
+    for at in uses:
+        if at is not None and 0 <= at < len(strings):
+            out[at] = split(strings[at], mode)
+    return out
 
 
 def linearized(df: DataFrame, key: str = "source_index", close_all: bool = False) -> DataFrame:
-    """``key, tokens`` for parsed snapshots."""
-    nodes = exploded(df, key)
-    # every string with its use; absent ones (negative) have no tokens
-    name_mode = F.when(F.col("node_type") == DOCTYPE, "basic").otherwise("tag")
-    attr_uses = F.flatten(F.transform("attrs", lambda a: F.array(F.struct(F.lit("basic").alias("mode"), a["name"].alias("at")), F.struct(F.lit("full").alias("mode"), a["value"].alias("at")))))
-    own = F.array(F.struct(name_mode.alias("mode"), F.col("name_index").alias("at")), F.struct(F.lit("full").alias("mode"), F.col("value_index").alias("at")), F.struct(F.lit("basic").alias("mode"), F.col("public_id").alias("at")), F.struct(F.lit("basic").alias("mode"), F.col("system_id").alias("at")))
-    uses = nodes.select(key, F.explode(F.concat(own, attr_uses)).alias("u")).select(key, "u.mode", "u.at").where("at >= 0")
-    split = split_strings(uses, df.select(key, "strings"), key)
-    table = split.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("mode", "at"), "tokens"))).alias("table"))
+    """``key, tokens`` for parsed snapshots, each within its row: strings are split in one
+    crossing to Python, looked up by place, and put together by built-in operators, without a
+    shuffle and in time linear in the snapshot (its events are sorted). A snapshot that is
+    null or has no documents has null tokens."""
+    rows = _columns(df, key)
+    rows = rows.select(key, "strings", "docs", *(u.alias(f"use_{m}") for m, u in _uses("docs").items()), F.transform("docs", lambda d: d["parents"]).alias("parents"), F.transform("docs", lambda d: d["types"]).alias("kinds"))
+
+    def run(strings, basic, full, tag, parents, kinds):
+        out = [[], [], [], [], []]
+        for s, uses, p, k in zip(strings, zip(basic, full, tag), parents, kinds):
+            if s is None or not p:
+                for column in out:
+                    column.append(None)
+                continue
+            for column, use, mode in zip(out, uses, ("basic", "full", "tag")):
+                column.append(_split_at(s, use, mode))
+            ends = [ends_of(x) for x in p]
+            out[3].append(ends)
+            # the outermost node that is open at the end of each document
+            out[4].append([next((i for i, (e, t) in enumerate(zip(x, y)) if e == len(x) and t in (ELEMENT, DOCUMENT)), -1) for x, y in zip(ends, k)])
+        return out
+
+    inputs = ["strings", "use_basic", "use_full", "use_tag", "parents", "kinds"]
+    rows = with_columns(rows, inputs, run, "t_basic array<array<string>>, t_full array<array<string>>, t_tag array<array<string>>, ends array<array<int>>, outermost array<int>")
     none = F.array().cast("array<string>")
-    tokens = lambda mode, at: F.coalesce(F.try_element_at(F.col("table"), F.struct(F.lit(mode).alias("mode"), at.cast("int").alias("at"))), none)
-    word = lambda t: F.array(F.lit(t))
-    ends = subtree_ends(nodes.groupBy(key, "doc_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_index", "parent_index"))), lambda n: n["parent_index"]).alias("parents")))
-    nodes = nodes.join(ends.select(key, "doc_index", "ends"), [key, "doc_index"]).join(table, key)
-    attributes = F.flatten(F.transform("attrs", lambda a: F.concat(word("_"), tokens("basic", a["name"]), word("="), tokens("full", a["value"]))))
-    public = F.when(F.col("public_id") >= 0, F.concat(word("PUBLIC"), tokens("basic", F.col("public_id")))).otherwise(none)
-    body = (
-        F.when(F.col("node_type") == ELEMENT, F.concat(word("<"), tokens("tag", F.col("name_index")), attributes, word(">")))
-        .when(F.col("node_type") == TEXT, tokens("full", F.col("value_index")))
-        .when(F.col("node_type") == COMMENT, F.concat(word("<!--"), tokens("full", F.col("value_index")), word("-->")))
-        .when(F.col("node_type") == DOCTYPE, F.concat(word("<!DOCTYPE"), tokens("basic", F.col("name_index")), public, tokens("basic", F.col("system_id")), word(">")))
-        .otherwise(none)
-    )
-    event = lambda place, order, deep, t: F.struct(F.col("doc_index"), place.cast("int").alias("place"), F.lit(order).alias("order"), deep.cast("int").alias("deep"), t.alias("tokens"))
-    tag = tokens("tag", F.col("name_index"))
-    end = F.element_at("ends", F.col("node_index") + 1)
-    # at the end of input only the last document closes, and its outermost open node doesn't
-    outermost = F.min(F.when(F.col("node_type").isin(ELEMENT, DOCUMENT) & (end == F.col("node_count")), F.col("node_index")))
-    from pyspark.sql import Window as W
-
-    last = F.lit(close_all) | (F.col("doc_index") == F.col("doc_count") - 1)
-    closes = F.col("node_type").isin(ELEMENT, DOCUMENT) & ((end < F.col("node_count")) | last & (F.col("node_index") != F.col("outermost"))) & ~F.lower(F.try_element_at(tag, F.lit(-1))).isin(*VOID_TAGS)
-    nodes = nodes.withColumn("outermost", outermost.over(W.partitionBy(key, "doc_index")))
-    events = nodes.select(key, F.array(event(F.col("node_index"), 1, F.lit(0), body), F.when(closes, event(end, 0, -F.col("node_index"), F.concat(word("</"), tag, word(">"))))).alias("events"))
-    events = events.select(key, F.explode(F.filter("events", lambda e: e.isNotNull())).alias("event"))
-    ordered = events.groupBy(key).agg(F.array_sort(F.collect_list("event")).alias("events"))
-    return ordered.select(key, F.flatten(F.transform("events", lambda e: e["tokens"])).alias("tokens"))
+    tokens = lambda mode, at: F.coalesce(F.get(f"t_{mode}", at), none)
+    word = lambda *t: F.array(*map(F.lit, t))
+
+    def body(d: Column, type_: Column, i: Column) -> Column:
+        name, value = F.get(d["names"], i), F.get(d["values"], i)
+        attributes = F.flatten(F.transform(F.get(d["attrs"], i), lambda a: F.concat(word("_"), tokens("basic", a["name"]), word("="), tokens("full", a["value"]))))
+        public = F.when(d["public"] >= 0, F.concat(word("PUBLIC"), tokens("basic", d["public"]))).otherwise(none)
+        return (
+            F.when(type_ == ELEMENT, F.concat(word("<"), tokens("tag", name), attributes, word(">")))
+            .when(type_ == TEXT, tokens("full", value))
+            .when(type_ == COMMENT, F.concat(word("<!--"), tokens("full", value), word("-->")))
+            .when(type_ == DOCTYPE, F.concat(word("<!DOCTYPE"), tokens("basic", name), public, tokens("basic", d["system"]), word(">")))
+            .otherwise(none)
+        )
+
+    def events(d: Column, number: Column) -> Column:
+        event = lambda place, order, deep, t: F.struct(number.alias("doc"), place.alias("place"), F.lit(order).alias("order"), deep.alias("deep"), t.alias("tokens"))
+        # at the end of input only the last document closes, and its outermost open node doesn't
+        last = F.lit(close_all) | (number == F.size("docs") - 1)
+
+        def close(type_: Column, i: Column) -> Column:
+            end, tag = F.get(F.get("ends", number), i), tokens("tag", F.get(d["names"], i))
+            open_ = type_.isin(ELEMENT, DOCUMENT) & ((end < F.size(d["types"])) | last & (i != F.get("outermost", number)))
+            return F.when(open_ & ~F.lower(F.try_element_at(tag, F.lit(-1))).isin(*VOID_TAGS), event(end, 0, -i, F.concat(word("</"), tag, word(">"))))
+
+        bodies = F.transform(d["types"], lambda type_, i: event(i, 1, F.lit(0), body(d, type_, i)))
+        return F.concat(bodies, F.filter(F.transform(d["types"], close), lambda e: e.isNotNull()))
+
+    ordered = F.array_sort(F.flatten(F.transform("docs", events)))
+    return rows.select(key, F.when(F.col("ends").isNotNull(), F.flatten(F.transform(ordered, lambda e: e["tokens"]))).alias("tokens"))
+
+
+def string_uses(df: DataFrame, key: str = "source_index") -> DataFrame:
+    """``key, mode, at, text`` for the distinct uses of strings by parsed snapshots."""
+    rows = _columns(df, key)
+    uses = F.flatten(F.array(*(F.transform(u, lambda at, m=m: F.struct(F.lit(m).alias("mode"), at.alias("at"))) for m, u in _uses("docs").items())))
+    return rows.select(key, "strings", F.explode(uses).alias("u")).where("u.at >= 0").select(key, "u.mode", "u.at", decoded(F.col("strings"), F.col("u.at")).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -65,22 +66,32 @@ def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: I
         for pair in zip(parts, parts[1:]):
             pairs[pair] += counts[w]
             where[pair].add(w)
-    while len(out) < size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] <= 0:
-            break
+    # the most frequent pair first; entries whose count has changed since are passed over
+    queue = [(-n, pair) for pair, n in pairs.items()]
+    heapq.heapify(queue)
+    while len(out) < size and queue:
+        n, best = heapq.heappop(queue)
+        if pairs.get(best, 0) != -n:
+            continue
         merged = best[0] + best[1][2:]
         out.setdefault(merged)
+        changed = set()
         for w in where.pop(best):
             parts = pieces[w]
             for pair in zip(parts, parts[1:]):
                 pairs[pair] -= counts[w]
+                changed.add(pair)
             new = merged_at(parts, best, merged)
             pieces[w] = new
             for pair in zip(new, new[1:]):
                 pairs[pair] += counts[w]
                 where[pair].add(w)
-        pairs = +pairs
+                changed.add(pair)
+        for pair in changed:
+            if pairs[pair] > 0:
+                heapq.heappush(queue, (-pairs[pair], pair))
+            else:
+                del pairs[pair]
     return list(out)
 
 
@@ -151,7 +162,8 @@ def build_on_cluster(counts: DataFrame, size: int = DEFAULT_SIZE, special: Itera
 
 
 def pieces_of(word: str, vocabulary: dict[str, int] | set[str], longest: int = 100) -> list[str]:
-    """Greedy longest match from the left; ``[UNK]`` where some part isn't there."""
+    """Greedy longest match from the left; ``[UNK]`` where some part isn't there, and, as in
+    published tokenizers of this kind, for words of more than ``longest`` characters."""
     if len(word) > longest:
         return ["[UNK]"]
     out, start = [], 0
@@ -198,6 +210,25 @@ def save(spark: SparkSession, vocabulary: list[str], folder: str, lower: bool =
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/tokenizer")
 
 
+def load_published(path: str) -> tuple[list[str], dict]:
+    """A published vocabulary of word pieces as ``load`` gives one: the tokens by number and
+    what else there is. ``path`` is a JSON file as the ``tokenizers`` library saves it, or
+    a list of a token a line, which lower-cases if none has a capital but special ones."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if text.lstrip().startswith("{"):
+        made = json.loads(text)
+        model = made["model"]
+        if model.get("type", "WordPiece") != "WordPiece" or model.get("continuing_subword_prefix", "##") != "##":
+            raise ValueError("the vocabulary isn't of word pieces")
+        tokens = sorted(model["vocab"], key=model["vocab"].get)
+        lower = bool((made.get("normalizer") or {}).get("lowercase"))
+    else:
+        tokens = text.splitlines()
+        lower = not any(t != t.lower() for t in tokens if not t.startswith("["))
+    return tokens, {"model_max_length": MAX_LENGTH, "lower": lower, "special_tokens": sorted(SPECIAL_TOKENS)}
+
+
 def load(spark: SparkSession, folder: str) -> tuple[list[str], dict]:
     rows = spark.read.parquet(f"{folder}/vocabulary").orderBy("id").collect()
     return [r["token"] for r in rows], json.loads(spark.read.text(f"{folder}/tokenizer").first()["value"])

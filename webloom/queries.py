@@ -255,7 +255,7 @@ def linearized_pages(table):
 
 
 def _encoded(table, size: int, name: str) -> DataFrame:
-    rows = tokenize.tokenize_pages(table("pages")).where("error is null").select("page_id", "tokens")
+    rows = tokenize.tokenize_pages(table("pages")).select("page_id", "tokens")
     return vocabulary.encode(rows, vocabulary.train(rows, size)).select("page_id", F.col("tokenized").alias(name))
 
 
