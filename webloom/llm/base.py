@@ -8,9 +8,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +31,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``. Only where that
-    is unset, as in tests, a temporary one is made and set as checkpoint folder."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, else the
+    one that was set for checkpoints. Where neither is, a temporary one is made if driver and
+    executors are one process, as in tests; on a cluster that is an error."""
     global _session_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _session_folder is None or not os.path.isdir(_session_folder):
         _session_folder = tempfile.mkdtemp(prefix="webloom-")
         atexit.register(_remove_local, _session_folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_session_folder)
+    spark.sparkContext.setCheckpointDir(_session_folder)
     return _session_folder
 
 
@@ -52,22 +53,51 @@ def _remove_local(folder: str) -> None:
     shutil.rmtree(folder, ignore_errors=True)
 
 
+#: Paths of the tables written and not yet deleted, in order.
+_left: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder: lineage ends there, and every
-    later reader reads only the columns it needs."""
+    later reader reads only the columns it needs. What a result still reads when an operator
+    returns stays until :func:`clean` or the end of a :func:`scratch` block."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for file in paths:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if file in _left:
+            _left.remove(file)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have written and left behind. Results
+    that read them and haven't been saved can't be computed after that."""
+    _delete(spark, list(_left))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """``with scratch(spark): operator(docs).write...`` deletes at its end the tables that were
+    written inside it."""
+    before = set(_left)
+    try:
+        yield
+    finally:
+        _delete(spark, [p for p in _left if p not in before])
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` once nothing will read them again."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names = {f.rsplit("/", 2)[1] for table in tables for f in table.inputFiles()}
+    _delete(spark, [p for p in list(_left) if p.rsplit("/", 1)[1] in names])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -76,10 +106,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def small_or_none(df: DataFrame, bound: int) -> list | None:
     """The rows of ``df`` if there are at most ``bound``, else None; never collects more."""
     rows = df.limit(bound + 1).collect()
@@ -122,6 +148,23 @@ def encoding_of(data: bytes):
     return _encodings[key]
 
 
+def chunk_encoder(data: bytes) -> Callable[[str], list[int]]:
+    """Encodes a chunk of a text, the way the encoder does; a bare word without its rule."""
+    encoding = encoding_of(data)
+    single, whole = encoding._core_bpe.encode_single_piece, encoding.encode_ordinary
+
+    def of(chunk: str) -> list[int]:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        return single(chunk.encode()) if word.isascii() and word.isalpha() else whole(chunk)
+
+    return of
+
+
+def id_type(docs: DataFrame, doc_id: str = "doc_id") -> str:
+    """The type of the documents' ids, which operators leave as it is."""
+    return docs.select(doc_id).schema[0].dataType.simpleString()
+
+
 class ChunkCache:
     """Encodes a text as the concatenation of what its space-led chunks encode to.
 
