@@ -1,9 +1,9 @@
 """SimHash fingerprints and all their neighbours within a Hamming radius.
 
-Terms are the pairs of neighbouring words (lower-cased runs of letters and digits; a lone word
-is paired with nothing). A term's hash is the first half of the first word's MD5 digest, xor
-the second half of the second one's; each occurrence votes on each of the 64 bits, so a term
-weighs as often as it occurs, and a bit is set where over half of the votes are for it.
+Terms are words, lower-cased runs of letters and digits. A term's hash is the first half of its
+MD5 digest, and its weight the number of binary digits of how often it occurs (1, 2 for 2 or 3,
+3 for 4 to 7), so that common words don't outvote the rest. With that weight it votes on each
+of the 64 bits, and a bit is set where over half of the weight is for it.
 
 Neighbours: the bits are cut into ``BLOCKS`` blocks; two fingerprints within radius ``r``
 agree in at least ``BLOCKS - r`` of them, so among the tables for all ways to choose these
@@ -11,7 +11,8 @@ blocks, keyed by the chosen bits, some table has both under one key. Equal finge
 one entry, so copies by the thousand cost no pairs.
 
 Defined results: a null text or one without words has a null fingerprint and no neighbours;
-repeated rows come out repeatedly; a null ``doc_id`` gets its fingerprint and neighbours but
+repeated rows come out repeatedly; very long texts take 16 bytes a word;
+an empty table gives no rows; a null ``doc_id`` gets its fingerprint and neighbours but
 is nobody's neighbour; ties in votes clear the bit; other columns are ignored.
 """
 
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import dropped, written
+from .base import id_type, written
 from .words import digests
 
-RADIUS, BLOCKS = 3, 6
+RADIUS, BLOCKS = 6, 9
 
 
 def fingerprint(text: str) -> int | None:
@@ -37,14 +38,13 @@ def fingerprint(text: str) -> int | None:
     words = digests.of(text)
     if not len(words):
         return None
-    terms = words[:, 0].copy()
-    terms[:-1] ^= words[1:, 1]
-    if len(words) > 1:
-        terms = terms[:-1]
+    terms, often = np.unique(words[:, 0], return_counts=True)
+    weights = np.frexp(often)[1].astype(np.float32)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(terms), 4096):
-        votes += np.unpackbits(terms[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(terms)).view(">i8")[0])
+        bits = np.unpackbits(terms[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1)
+        votes += (weights[at : at + 4096] @ bits.astype(np.float32)).astype(np.int64)
+    return int(np.packbits(2 * votes > int(weights.sum(dtype=np.float64))).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [None if t is None else fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.selectExpr("doc_id", f"cast(`{text}` as string) text").mapInArrow(run, f"doc_id {id_type(docs)}, fingerprint long")
 
 
 def table_keys(fp: Column, radius: int, blocks: int) -> Column:
@@ -91,16 +91,15 @@ def simhash(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, text: s
     pairs = neighbouring(prints, radius, blocks).drop("hamming")
     both = pairs.union(pairs.select("b", "a"))
     near = both.join(prints.toDF("b", "least"), "b").where("least is not null").groupBy(F.col("a").alias("fingerprint")).agg(F.collect_list("least").alias("near"))
-    known = prints.join(near, "fingerprint", "left").select(F.col("fingerprint").alias("f"), F.concat(F.array("least"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"))
-    ids = F.array_sort(F.filter(F.coalesce("near", F.array().cast("array<long>")), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("doc_id"))))
+    none = F.array().cast(f"array<{id_type(docs)}>")
+    known = prints.join(near, "fingerprint", "left").select(F.col("fingerprint").alias("f"), F.concat(F.array("least"), F.coalesce("near", none)).alias("near"))
+    ids = F.array_sort(F.filter(F.coalesce("near", none), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("doc_id"))))
     return stage.join(known, F.col("fingerprint") == F.col("f"), "left").select("doc_id", "fingerprint", ids.alias("near_doc_ids"))
 
 
-_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {i})::UBIGINT & 1) > count(*) THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
+_BITS = " + ".join(f"CASE WHEN 2 * sum(w * ((h >> {i})::UBIGINT & 1)::BIGINT) > sum(w) THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
 SIMHASH_SQL = f"""
-WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: md5(x)) AS w FROM documents),
-t AS (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [('0x' || w[1][1:16])::UBIGINT]
-  ELSE list_transform(range(1, len(w)), lambda i: xor(('0x' || w[i][1:16])::UBIGINT, ('0x' || w[i + 1][17:32])::UBIGINT)) END) AS h FROM w WHERE len(w) > 0),
+WITH t AS (SELECT doc_id, ('0x' || md5(x)[1:16])::UBIGINT AS h, length(bin(count(*)))::BIGINT AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS x FROM documents) GROUP BY doc_id, x),
 v AS (SELECT doc_id, {_BITS} AS f FROM t GROUP BY doc_id),
 f AS (SELECT doc_id, (CASE WHEN f >= 9223372036854775808::HUGEINT THEN f - 18446744073709551616::HUGEINT ELSE f END)::BIGINT AS fingerprint FROM v),
 p AS (SELECT fingerprint, min(doc_id) AS least FROM f GROUP BY fingerprint),
