@@ -1,6 +1,7 @@
 """Mixing sources to target weights by repetition and hash-seeded Bernoulli copies.
 
-Tokens are counted per source over all documents; a source's rate is its share of the target
+Tokens of a published vocabulary (or what a column says) are counted exactly, per source and over
+all documents, and added up where they are counted; a source's rate is its share of the target
 divided by its share of the tokens. A document comes out ``floor(rate)`` times, and once more
 if a hash of the seed and its ``doc_id`` falls below the fraction: the expected tokens per
 source are in the target's proportion, and any rerun gives the same rows.
@@ -14,11 +15,16 @@ columns ``copy`` and ``copies`` replace input columns of these names.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, small_or_none
+from .base import DEFAULT_VOCABULARY, fresh, small_or_none, vocabulary_bytes
+from .token_counts import total_of
 
 SEED = 20
 #: So many rates at most are broadcast; more are joined by shuffle.
@@ -30,11 +36,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tokens: Column | None = None, total: float | None = None, source: str = "source", text: str = "text") -> DataFrame:
-    """``source, tokens, rate``. Without ``weights`` all sources that have tokens weigh alike;
+def token_sums(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, source: str = "source", text: str = "text") -> DataFrame:
+    """``source, tokens`` by exact encoding."""
+    data = vocabulary_bytes(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = total_of(data)
+        for batch in batches:
+            sums: Counter = Counter()
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[name] += sum(cache.parts(value)) if value else 0
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["source", "tokens"])
+
+    counted = docs.select(F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")).mapInArrow(run, "source string, tokens long")
+    return counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+
+
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tokens: Column | None = None, total: float | None = None, source: str = "source", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``source, tokens, rate``; ``tokens`` is each document's number where that is known. Without ``weights`` all sources that have tokens weigh alike;
     without ``total`` the target is as many tokens as the weighted sources have."""
-    tokens = word_count(F.col(text)) if tokens is None else tokens
-    sums = docs.select(F.col(source).cast("string").alias("source"), tokens.alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    if tokens is None:
+        sums = token_sums(docs, vocabulary, source, text)
+    else:
+        sums = docs.select(F.col(source).cast("string").alias("source"), tokens.alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sums = sums.where("tokens > 0")
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -54,9 +79,10 @@ def mix_sources(
     source: str = "source",
     text: str = "text",
     doc_id: str = "doc_id",
+    vocabulary: str = DEFAULT_VOCABULARY,
 ) -> DataFrame:
     """All columns of ``docs`` and ``copy`` (from 1) of ``copies``."""
-    rates = source_rates(docs, weights, tokens, total, source, text)
+    rates = source_rates(docs, weights, tokens, total, source, text, vocabulary)
     few = small_or_none(rates, BROADCAST_SOURCES)
     if few is not None:
         rates = F.broadcast(docs.sparkSession.createDataFrame(few, T.StructType(rates.schema.fields)))
@@ -73,6 +99,11 @@ def mix_sources(
     )
 
 
+def mixed_by_words(docs: DataFrame) -> DataFrame:
+    """The mix where a token is a run of characters other than white space, which SQL can count."""
+    return mix_sources(docs, tokens=word_count(F.col("text")))
+
+
 MIX_SQL = f"""
 WITH c AS (SELECT *, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS tokens FROM documents),
 s AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM c GROUP BY source HAVING sum(tokens) > 0),
