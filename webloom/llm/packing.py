@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import DEFAULT_VOCABULARY, vocabulary_bytes, written
+from .base import DEFAULT_VOCABULARY, id_type, joined_small, vocabulary_bytes, written
 from .token_counts import total_of
 
 CAPACITY, GRAIN, GAP = 2048, 16, 1e-5
 #: Pieces that one rank task sorts, about.
 RANK_ROWS = 1_000_000
+#: Sizes of parts, of all classes, that are broadcast at most.
+BROADCAST_PARTS = 100_000
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -140,7 +142,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text: s
             n = [sum(cache.parts(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.selectExpr("doc_id", f"cast(`{text}` as string) text").mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, vocabulary: str = DEFAULT_VOCABULARY, lengths: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -169,9 +171,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, vocabula
     rank = F.row_number().over(W.partitionBy("class", "part").orderBy("h", "doc_id", "piece", "n_tokens")).cast("long") - 1
     ranked = pieces.withColumn("rank", rank)
     if bits:
-        sizes = pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("size"))
-        before = F.sum("size").over(W.partitionBy("class").orderBy("part")) - F.col("size")
-        ranked = ranked.join(F.broadcast(sizes.select("class", "part", before.alias("before"))), ["class", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+        sizes = pieces.groupBy(F.col("class").alias("of"), F.col("part").alias("in")).agg(F.count(F.lit(1)).alias("size"))
+        before = F.sum("size").over(W.partitionBy("of").orderBy("in")) - F.col("size")
+        sizes = written(sizes.select("of", "in", before.alias("before")), "pack-parts")
+        ranked = joined_small(ranked, sizes, (F.col("class") == F.col("of")) & (F.col("part") == F.col("in")), "inner", BROADCAST_PARTS).withColumn("rank", F.col("rank") + F.col("before"))
     at, e = F.col("rank") - F.col("low"), F.col("each")
     return (
         ranked.join(F.broadcast(spark_entries), "class")
