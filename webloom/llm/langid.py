@@ -210,13 +210,14 @@ def detected(docs: DataFrame, known: dict[str, dict[str, int]], accept: float =
 def identified(docs: DataFrame, accept: float = ACCEPT, **options) -> DataFrame:
     """``doc_id, detected_lang, lang_distance, lang_accepted`` of every row, by profiles from
     the labelled rows of ``docs``."""
-    return detected(docs.select("doc_id", "text"), profiles(docs, **options), accept).drop("text")
+    text = options.get("text", "text")
+    return detected(docs.select("doc_id", text), profiles(docs, **options), accept, text=text).drop(text)
 
 
 def accepted_documents(docs: DataFrame, accept: float = ACCEPT, **options) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the languages; columns as they were."""
     output = tuple(fresh(docs, *OUTPUT))
-    found = detected(docs, profiles(docs, **options), accept, output=output)
+    found = detected(docs, profiles(docs, **options), accept, text=options.get("text", "text"), output=output)
     return found.where(output[2]).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpointed, dropped, fresh, joined_small, written
+from .base import checkpointed, dropped, fresh, id_type, joined_small, written
 from .components import components
 from .words import digests
 
@@ -99,12 +99,12 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 bands.append(key.view(np.int64))
             lists = lambda rows, n: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(same, pa.int64()), lists(words, PERMUTATIONS * BITS // 64), lists(bands, PERMUTATIONS // ROWS)],
+                [pa.array(ids, batch.column(0).type), pa.array(same, pa.int64()), lists(words, PERMUTATIONS * BITS // 64), lists(bands, PERMUTATIONS // ROWS)],
                 ["doc_id", "same", "words", "bands"],
             )
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", f"cast(`{text}` as string) text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, same long, words array<long>, bands array<long>")
+    rows = docs.selectExpr("doc_id", f"cast(`{text}` as string) text").where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, same long, words array<long>, bands array<long>")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -169,7 +169,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text:
     """The rows of ``docs`` less all but one document of each group."""
     gone = near_duplicates(docs, threshold, text).select(F.col("doc_id_b").alias("gone"))
     key, row = fresh(docs, "gone", "row")
-    kept = joined_small(docs, gone.toDF(key), docs["doc_id"].cast("long") == F.col(key), "left_anti", BROADCAST_IDS)
+    kept = joined_small(docs, gone.toDF(key), docs["doc_id"] == F.col(key), "left_anti", BROADCAST_IDS)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key))
     repeated = checkpointed(repeated)
     if repeated.isEmpty():

@@ -2,7 +2,8 @@
 
 What a validator accepts is replaced by another valid value of the same format: payment cards
 (Luhn digit recomputed), bank accounts (IBAN, check digits recomputed), social security and
-telephone numbers, IPv4 addresses, dates (another day of 1900 to 2099 in the same notation),
+telephone numbers, IPv4 addresses, dates (another day of 1900 to 2099 in the same notation,
+the same one in whichever notation it comes),
 e-mail addresses (top-level domain kept), access keys, and the values of password and token
 assignments. Each format is a finite domain, and the replacement a permutation of it: an
 unbalanced Feistel network of ``ROUNDS`` rounds over mixed-radix numbers, keyed by BLAKE2b,
@@ -10,11 +11,12 @@ walked on until the value is valid. So equal values get equal pseudonyms in what
 document, place or separators; different ones stay different; the key alone undoes it, but
 where a number stands beside digits or capitals with which its pseudonym happens to be valid.
 
-Defined results: null and empty texts stay; text without valid values comes out unchanged,
+Defined results: null and empty texts stay; an empty table stays empty; text without valid values comes out unchanged,
 letter by letter; a number that no validator accepts stays, but shorter ends (an IBAN's by its
 country's length) and later beginnings in it are tried; addresses are four octets of 0 to 255 without
 leading zeros; +1 or a bracketed area code and ten digits are a telephone number, while ten
-bare digits in groups need an area code and exchange that don't begin with 0 or 1; where candidates overlap the one
+bare digits in groups need an area code and exchange that don't begin with 0 or 1, and ten
+digits in a row are none; of a date's numbers under ten either all have a zero before them or none; where candidates overlap the one
 that begins first wins, then the order of ``FINDERS``; scanning is linear in the text, however
 long; repeated rows come out alike; other columns are untouched but for ``n_chars``, which,
 where it is there, follows the new text; ``n_pii`` replaces a column of that name.
@@ -37,6 +39,8 @@ ROUNDS = 10
 PUBLIC_KEY = b"webloom: a public key, for demonstration"
 
 DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
+#: Country codes of two digits; 1 and 7 have one, all others three.
+SHORT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049
 
 
@@ -154,7 +158,7 @@ class Pseudonyms:
         if m[0] == "+" and digits[0] != "1":
             if not 8 <= len(digits) <= 15:
                 return None
-            code = re.match(r"\+(\d{1,3}(?=\D)|\d{2})", m)[1]
+            code = digits[: 1 if digits[0] == "7" else 2 if digits[:2] in SHORT_CODES else 3]
             national = digits[len(code) :]
             return refilled(m, code + self._walk(national, [DIGITS] * len(national), "phone" + code), DIGITS.__contains__)
         code, number = digits[:-10], digits[-10:]
@@ -183,11 +187,16 @@ class Pseudonyms:
                 continue
             if not 1900 <= day.year <= 2099:
                 continue
-            # a day that reads as day-month keeps to days that don't read otherwise, and so on
-            valid = lambda n, order=order: order != "mdy" or datetime.date.fromordinal(FIRST_DAY + n).day > 12
-            n = self.feistel.permuted(day.toordinal() - FIRST_DAY, DAYS, b"date" + (order if order == "mdy" else "").encode(), valid, self.undo)
-            new = datetime.date.fromordinal(FIRST_DAY + n)
-            text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            short = [len(got[x]) == 1 for x in "md" if int(got[x]) < 10]
+            if len(set(short)) > 1:
+                continue
+            # a day goes to one that reads in the same notations: over 12 or not, and with a
+            # number of one digit or not; so it is the same one in all notations
+            kind = lambda d: (d.day > 12, min(d.day, d.month) < 10)
+            valid = lambda n, own=kind(day): kind(datetime.date.fromordinal(FIRST_DAY + n)) == own
+            n = self.feistel.permuted(day.toordinal() - FIRST_DAY, DAYS, b"date", valid, self.undo)
+            new, width = datetime.date.fromordinal(FIRST_DAY + n), 1 if any(short) else 2
+            text = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
             return sep.join(text[x] for x in order)
         return None
 
@@ -289,10 +298,10 @@ class Pseudonyms:
 #: follow. All quantifiers are bounded.
 BEFORE, AFTER = r"(?<!\w)(?<!\d[.-])", r"(?![\w-])"
 FINDERS = {
-    "date": (BEFORE, r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})", r"(?:(?=[Tt_]\d{2})|(?![\w/-])(?!\.\d))"),
+    "date": (BEFORE, r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})", r"(?:(?=[Tt_]\d{2})|(?![\w/-])(?!\.\d))"),
     "ipv4": (BEFORE, r"\d{1,3}(?:\.\d{1,3}){3}", r"(?![\w-])(?!\.\d)"),
     "ssn": (BEFORE, r"\d{3}-\d{2}-\d{4}", AFTER),
-    "phone": (BEFORE, r"(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5})", AFTER),
+    "phone": (BEFORE, r"(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,6})", AFTER),
     "card": (r"(?<!\w)(?<!\d\.)", r"\d(?:[ -]?\d){12,18}", r"(?!\w)"),
     "iban": (BEFORE, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}", r"(?!\w)"),
     "access_key": (BEFORE, r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"(?!\w)"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .base import DEFAULT_VOCABULARY, ChunkCache, encoding_of, ranks_of, vocabulary_bytes
+from .base import DEFAULT_VOCABULARY, ChunkCache, chunk_encoder, encoding_of, id_type, ranks_of, vocabulary_bytes
 
 BUDGETS = (512, 2048)
 PREFIX = 1000
@@ -321,8 +321,8 @@ def prefix_token_counts(
                 ["doc_id", "n_tokens", f"tokens_at_{prefix}", *(f"fits_{b}" for b in budgets), "prefix_deltas"],
             )
 
-    schema = f"doc_id long, n_tokens long, tokens_at_{prefix} long, " + "".join(f"fits_{b} long, " for b in budgets) + "prefix_deltas binary"
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(run, schema)
+    schema = f"doc_id {id_type(docs)}, n_tokens long, tokens_at_{prefix} long, " + "".join(f"fits_{b} long, " for b in budgets) + "prefix_deltas binary"
+    return docs.selectExpr("doc_id", f"cast(`{text}` as string) text").mapInArrow(run, schema)
 
 
 _totals: dict[int, ChunkCache] = {}
@@ -332,6 +332,6 @@ def total_of(vocabulary: bytes) -> ChunkCache:
     """A worker's cache of whole-chunk token counts, for totals alone."""
     key = hash(vocabulary)
     if key not in _totals:
-        encode = encoding_of(vocabulary).encode_ordinary
+        encode = chunk_encoder(vocabulary)
         _totals[key] = ChunkCache(lambda chunk: len(encode(chunk)))
     return _totals[key]
