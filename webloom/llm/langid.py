@@ -12,7 +12,8 @@ whether it counts.
 Defined results: texts that are null, empty or without letters have no language and are
 rejected; languages with fewer than ``LEAST`` labelled rows have no profile; rows without a
 label (null or empty) train nothing but are identified; with no profile at all everything is
-rejected; repeated rows come out repeatedly; other columns are untouched.
+rejected; repeated rows come out repeatedly; very long texts are counted whole, in blocks; an
+empty table stays empty; other columns are untouched.
 """
 
 from __future__ import annotations

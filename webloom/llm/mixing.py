@@ -9,7 +9,8 @@ source are in the target's proportion, and any rerun gives the same rows.
 Defined results: a null source is a source of its own; a source without tokens (null or empty
 texts only), or which ``weights`` doesn't name, has rate 0 and goes; null and empty texts of
 other sources are repeated like any document; repeated rows (same ``doc_id``) share their
-fate; a null ``doc_id`` hashes as the empty string; an empty table stays empty. Output
+fate; a null ``doc_id`` hashes as the empty string; very long texts count whole; an empty table stays
+empty. Output
 columns ``copy`` and ``copies`` replace input columns of these names.
 """
 

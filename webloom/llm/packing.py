@@ -8,7 +8,7 @@ down, what is left over is packed first-fit by decreasing size, and each pattern
 take the next documents of each class in the order of a hash, by rank, without any search.
 
 Defined results: a text longer than a sequence is cut into full sequences and a rest, which
-are pieces of their own; null and empty texts have no piece and no row; repeated rows are
+are pieces of their own, however many; null and empty texts have no piece and no row; repeated rows are
 pieces each; a null ``doc_id`` stays null; ties in rank are between pieces of equal id, number
 and length, so either order gives the same rows; an empty table gives no rows.
 """

@@ -11,7 +11,8 @@ so questions such as "how many tokens do the first n characters have" or "how mu
 in b tokens" need a running sum and no encoding.
 
 Defined results: a null text gives nulls; an empty one 0 tokens and an empty table; repeated
-rows give repeated results; other columns are ignored; very long texts take linear time.
+rows give repeated results; other columns are ignored; very long texts take linear time; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
