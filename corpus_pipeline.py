@@ -6,8 +6,10 @@ columns of ``docs``: rejected documents, repeated lines and all but one document
 group of near duplicates are gone, and a document stands there as often as the mix has it.
 The last stage returns where each piece of each document stands in the packed sequences.
 
-Nulls, empty and very long texts, ties, repeated rows, further columns and empty tables have
-the results that the stages' operators define.
+A null or empty text has no language and goes in the first stage, so later ones see none; very
+long texts are worked on whole; of repeated rows the first three stages keep one, and a line
+that ties goes to the lesser ``doc_id``; a null ``doc_id`` is never a duplicate; further
+columns, whatever their names, come through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations

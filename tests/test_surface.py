@@ -148,3 +148,32 @@ def test_changes_that_cannot_be_cut_at_words(a, b):
         assert all(c["op"] in ("replace", "insert", "delete") for c in diff.changes(a, b))
     except ValueError as e:
         assert "change" in str(e) or "sides" in str(e)
+
+
+def test_published_vocabularies(spark, tmp_path):
+    from tokenizers import Tokenizer, models, normalizers
+
+    from webloom.operators import vocabulary
+
+    backend = Tokenizer(models.WordPiece({"[UNK]": 0, "low": 1, "##er": 2}, unk_token="[UNK]"))
+    backend.normalizer = normalizers.BertNormalizer(lowercase=True)
+    backend.save(str(tmp_path / "t.json"))
+    tokens, meta = vocabulary.load_published(str(tmp_path / "t.json"))
+    assert tokens == ["[UNK]", "low", "##er"] and meta["lower"]
+    (tmp_path / "vocab.txt").write_text("[UNK]\nLow\n##er\n")
+    cased, meta = vocabulary.load_published(str(tmp_path / "vocab.txt"))
+    assert cased == ["[UNK]", "Low", "##er"] and not meta["lower"]
+    rows = spark.createDataFrame([(["Lower", "[LONG]", "x"],), (None,)], "tokens array<string>")
+    assert [r["tokenized"] for r in vocabulary.encode(rows, tokens).collect()] == [["low", "##er", "[LONG]", "[UNK]"], None]
+    assert [r["tokenized"] for r in vocabulary.encode(rows, cased, lower=False).collect()][0] == ["Low", "##er", "[LONG]", "[UNK]"]
+    with pytest.raises(ValueError):
+        (tmp_path / "u.json").write_text(json.dumps({"model": {"type": "BPE", "vocab": {}}}))
+        vocabulary.load_published(str(tmp_path / "u.json"))
+
+
+def test_a_normalizer_of_ones_own(spark):
+    from webloom.operators.tokenize import normalized
+
+    rows = spark.createDataFrame([(["Ab", "[LONG]"],)], "tokens array<string>")
+    assert rows.select(normalized(F.col("tokens"), normalize=F.upper)).first()[0] == ["AB", "[LONG]"]
+    assert rows.select(normalized(F.col("tokens"), lower=False)).first()[0] == ["Ab", "[LONG]"]

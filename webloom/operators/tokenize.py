@@ -66,9 +66,11 @@ def snapshots_of_pages(df: DataFrame, html: str = "html", url: str = "url") -> D
     return with_columns(df, [html, url], lambda pages, urls: [[None if p is None else json.dumps(snapshot_of(p, u or ""), separators=(",", ":")) for p, u in zip(pages, urls)]], "dom_snapshot string")
 
 
-def normalized(tokens: Column, special: tuple[str, ...] = ("[BASE64]", "[LONG]"), lower: bool = True) -> Column:
-    """Tokens as the base model wants them; special ones stay as they are."""
-    return F.transform(tokens, lambda t: F.when(t.isin(*special), t).otherwise(F.lower(t))) if lower else tokens
+def normalized(tokens: Column, special: tuple[str, ...] = ("[BASE64]", "[LONG]"), lower: bool = True, normalize: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens as the base model wants them, lower-cased or by an expression of its own; special
+    ones stay as they are."""
+    change = normalize or (F.lower if lower else None)
+    return F.transform(tokens, lambda t: F.when(t.isin(*special), t).otherwise(change(t))) if change else tokens
 
 
 def resplit_text(tokens: Column) -> Column:
