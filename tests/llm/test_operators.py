@@ -419,3 +419,17 @@ def test_neighbours_of_some_queries_in_many_shards(spark, monkeypatch):
         if 700 <= i < 740:
             assert found == want
     assert np.mean(hits) >= 0.95
+
+
+def test_lists_follow_the_table_beyond_what_is_trained(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TRAINED_LISTS", 8)
+    x = np.random.default_rng(9).normal(size=(1000, 8))
+    index = ann.Index(x, 60)
+    assert len(index.centroids) == 64 and len(set(index.encoded(x)[0].tolist())) > 40
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(table, queries="vec_id % 10 = 0").collect():
+        got[r["vec_id"]].add(r["neighbour_id"])
+    d = ann.squared(x, x)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([len(got[i] & set(np.argsort(d[i])[:10].tolist())) / 10 for i in range(0, 1000, 10)]) >= 0.95

@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: inverted lists of product-quantised residuals.
 
 Coarse centroids and the residuals' codebooks are trained by k-means on a bounded sample, the
-``TRAIN`` rows of least hash. Every vector goes to the list of its nearest centroid, with one
+``TRAIN`` rows of least hash. There are twice as many lists as the square root of the vectors'
+number; as a bounded sample can't train more than ``TRAINED_LISTS``, centroids beyond that are
+sums of such a one and one of a codebook of their residuals. Every vector goes to the list of its nearest centroid, with one
 code for each of ``SUBSPACES`` parts of its residual. As a query it visits the lists of its
 nearest centroids, as many as ``TARGET`` of the true neighbours of ``QUERIES`` sample queries
 (found by brute force over all vectors) need. A query's asymmetric distance tables (products of
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .base import joined_small, written
 
-K, TRAIN, MAX_LISTS, SUBSPACES, CODES, QUERIES, TARGET, RERANK, CELL = 10, 16_384, 4096, 16, 256, 256, 0.98, 160, 20_000
+K, TRAIN, TRAINED_LISTS, SUBSPACES, CODES, QUERIES, TARGET, RERANK, CELL = 10, 16_384, 4096, 16, 256, 256, 0.98, 160, 20_000
 #: Queries that are ranked at a time.
 ASKED = 256
 #: The queries of a search: every row whose id is divisible by 20, against all rows.
@@ -70,10 +72,13 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids and codebooks; their size is bounded by the parameters."""
+    """Centroids and codebooks; the former grow as the square root of the table."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.centroids = kmeans(sample, lists)
+        self.centroids = kmeans(sample, min(lists, TRAINED_LISTS))
+        if lists > TRAINED_LISTS:
+            steps = kmeans(sample - self.centroids[nearest(sample, self.centroids)], -(-lists // TRAINED_LISTS))
+            self.centroids = (self.centroids[:, None] + steps[None]).reshape(-1, sample.shape[1])
         residuals = sample - self.centroids[nearest(sample, self.centroids)]
         dims = sample.shape[1]
         self.bounds = np.linspace(0, dims, min(SUBSPACES, dims) + 1).astype(int)
@@ -211,7 +216,7 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
         return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN).collect()
     x = np.array([r["v"] for r in sample])
-    index = Index(x, lists or max(1, min(MAX_LISTS, round(2 * n**0.5))))
+    index = Index(x, lists or max(1, round(2 * n**0.5)))
     ids = np.array([r["vec_id"] for r in sample])[:QUERIES]
     if probes is None:
         truth = exact_neighbours(vectors, ids, x[:QUERIES], k).select("vec_id", "neighbour_id").withColumnRenamed("vec_id", "q")
@@ -230,7 +235,7 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
 
     coded = written(vectors.mapInArrow(encode, f"vec_id long, v {kind}, list int, codes binary"), "ann-lists")
-    # at most MAX_LISTS rows, whatever the table
+    # a row for each list
     rows = np.zeros(len(index.centroids), np.int64)
     for r in coded.groupBy("list").count().collect():
         rows[r["list"]] = r["count"]
@@ -258,7 +263,7 @@ def nearest_neighbours(table: DataFrame, k: int = K, lists: int | None = None, p
         # an entry is asked for if one of its copies is
         asking = asking.join(members.where(queries).select(F.col("least").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "v")
     asked = written(asking.mapInArrow(ask, f"query_id long, query {kind}, at int, visits array<int>"), "ann-asked")
-    # at most MAX_LISTS rows and one for each CELL vectors
+    # a row for each list at most, and one for each CELL vectors
     grid = asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("columns"))
     homes = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
     place = lambda id_, by: F.pmod(F.xxhash64(id_), F.col(by)).cast("int")
