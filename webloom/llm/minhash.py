@@ -10,12 +10,15 @@ words: of agreeing places, a share ``2**-BITS`` agrees by accident, so the simil
 Documents with the same minima are one node. In each band's bucket every node is compared
 with the bucket's least; what isn't in one component after that is compared pairwise, so no
 candidate pair that could join two groups is left out, and a bucket of thousands of copies
-costs a comparison for each, not for each pair.
+costs a comparison for each, not for each pair. Those pairs are never written: a bucket is cut
+into cells of about ``CELL`` nodes, each held against the whole bucket with the packed words
+at hand, and only pairs that are near leave the task.
 
 Defined results: a null text, an empty one and one without words is like nothing; a null
 ``doc_id`` is never grouped and always stays; rows of the same ``doc_id`` are one document,
 of which one row stays (the first by text, then by the whole row); ties go to the least
-``doc_id``; other columns are untouched, whatever their names; empty tables give no pairs.
+``doc_id``; other columns are untouched, whatever their names; very long texts take linear
+time; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .words import digests
 PERMUTATIONS, ROWS, BITS, SHINGLE, THRESHOLD = 256, 4, 2, 3, 0.4
 #: So many ids at most are broadcast to take dropped documents out.
 BROADCAST_IDS = 1_000_000
+#: Nodes of a bucket that one task holds against all of its bucket, about.
+CELL = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -111,10 +116,13 @@ def similarity(a: str, b: str) -> Column:
     """Collision-corrected estimate from two columns of packed words."""
     ones = sum(1 << i for i in range(0, 64, BITS))
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
-    x = "x"
-    for i in range(1, BITS):
-        x = f"{x} | shiftrightunsigned(x, {i})"
-    differ = F.expr(f"aggregate(transform(zip_with({a}, {b}, (p, q) -> p ^ q), x -> bit_count(({x}) & {ones}L)), 0, (s, y) -> s + y)")
+    differ = F.lit(0)
+    for i in range(PERMUTATIONS * BITS // 64):
+        xor = F.get(a, i).bitwiseXOR(F.get(b, i))
+        any_ = xor
+        for shift in range(1, BITS):
+            any_ = any_.bitwiseOR(F.shiftrightunsigned(xor, shift))
+        differ = differ + F.bit_count(any_.bitwiseAND(F.lit(ones)))
     c = 2.0**-BITS
     return ((1 - differ / F.lit(float(PERMUTATIONS))) - c) / (1 - c)
 
@@ -147,11 +155,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     # pairs within a bucket that the stars have not put into one component
     root = F.coalesce("root", "doc_id")
     placed = shared.select("key", "doc_id").join(first, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", root.alias("root"))
-    mixed = placed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low != high").select("key", "doc_id", "root")
-    mixed = written(mixed, "minhash-mixed")
-    a, b = mixed.toDF("key", "u", "ru"), mixed.toDF("key", "v", "rv")
-    rest = a.join(b, "key").where("ru < rv").select("u", "v", "ru", "rv").distinct()
-    more = _verified(rest.select("u", "v"), nodes, threshold).where("near").select("u", "v")
+    mixed = placed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("low != high")
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    mixed = written(mixed.select("key", "doc_id", "root", cells.alias("cells")).join(nodes.select("doc_id", "words"), "doc_id"), "minhash-mixed")
+    a = mixed.select("key", F.pmod(F.xxhash64("doc_id"), "cells").cast("int").alias("cell"), F.col("doc_id").alias("u"), F.col("root").alias("ru"), F.col("words").alias("x"))
+    b = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("doc_id").alias("v"), F.col("root").alias("rv"), F.col("words").alias("y"))
+    more = a.join(b, ["key", "cell"]).where((F.col("ru") < F.col("rv")) & (similarity("x", "y") >= threshold)).select("u", "v").distinct()
     copies = members.where("doc_id != node").select("doc_id", "node")
     groups = components(first.union(more).union(copies)).toDF("doc_id", "kept")
     words = stage.select("doc_id", "words").dropDuplicates(["doc_id"])
