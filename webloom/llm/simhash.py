@@ -5,9 +5,10 @@ MD5 digest, and its weight the number of binary digits of how often it occurs (1
 3 for 4 to 7), so that common words don't outvote the rest. With that weight it votes on each
 of the 64 bits, and a bit is set where over half of the weight is for it.
 
-Neighbours: the bits are cut into ``BLOCKS`` blocks; two fingerprints within radius ``r``
-agree in at least ``BLOCKS - r`` of them, so among the tables for all ways to choose these
-blocks, keyed by the chosen bits, some table has both under one key. Equal fingerprints are
+Neighbours: the bits are cut into ``n`` blocks; two fingerprints within radius ``r`` agree in
+at least ``n - r`` of them, so among the tables for all ways to choose these blocks, keyed by
+the chosen bits, some table has both under one key. The search is exact for any ``n``; more
+blocks make longer keys and more tables, so their number follows the table's size. Equal fingerprints are
 one entry, so copies by the thousand cost no pairs.
 
 Defined results: a null text or one without words has a null fingerprint and no neighbours;
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .base import id_type, written
 from .words import digests
 
-RADIUS, BLOCKS = 6, 9
+RADIUS = 6
+#: Fingerprints that a key may have by chance before more, longer keys are made.
+CROWD = 64
 
 
 def fingerprint(text: str) -> int | None:
@@ -71,7 +74,14 @@ def table_keys(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def neighbouring(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(rows: int, radius: int) -> int:
+    """The least number of blocks, 3 more than the radius at least, at which a key has no more
+    than ``CROWD`` of so many random fingerprints; at most twice the radius and 2."""
+    most = max(radius + 3, 2 * radius + 2)
+    return next((n for n in range(radius + 3, most) if rows <= CROWD << (64 * (n - radius) // n)), most)
+
+
+def neighbouring(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """``a, b, hamming`` with ``a < b`` for all pairs of distinct fingerprints within the radius."""
     if not 0 <= radius < blocks:
         raise ValueError("there must be more blocks than the radius")
@@ -83,12 +93,12 @@ def neighbouring(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
     return a.join(b, "key").where(F.col("a") < F.col("b")).withColumn("hamming", hamming).where(F.col("hamming") <= radius).select("a", "b", "hamming").distinct()
 
 
-def simhash(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, text: str = "text") -> DataFrame:
+def simhash(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, near_doc_ids``: for every document the least ``doc_id`` of each
     distinct fingerprint within the radius, its own included, itself left out, in order."""
     stage = written(fingerprints(docs, text), "simhash")
     prints = stage.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    pairs = neighbouring(prints, radius, blocks).drop("hamming")
+    pairs = neighbouring(prints, radius, blocks or blocks_for(stage.count(), radius)).drop("hamming")
     both = pairs.union(pairs.select("b", "a"))
     near = both.join(prints.toDF("b", "least"), "b").where("least is not null").groupBy(F.col("a").alias("fingerprint")).agg(F.collect_list("least").alias("near"))
     none = F.array().cast(f"array<{id_type(docs)}>")
