@@ -73,7 +73,7 @@ def test_against_sql(spark, sf, name):
     got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLES[name]).df()
     order = sorted(got.columns)
     assert order == sorted(want.columns)
-    plain = lambda df: sorted(str([x.tolist() if isinstance(x, np.ndarray) else str(x) for x in row]) for row in df[order].itertuples(index=False))
+    plain = lambda df: sorted(str([str(x.tolist()) if isinstance(x, np.ndarray) else str(x) for x in row]) for row in df[order].itertuples(index=False))
     assert plain(got) == plain(want)
 
 
