@@ -72,3 +72,18 @@ def test_the_cluster_counts_pairs_less_often_than_it_merges(spark, monkeypatch):
     whole = vocabulary.train(df, 140)
     assert vocabulary.train(df, 140, max_words=10) == whole
     assert 0 < len(asked) < (140 - 7 - 54) * 2 / 3
+
+
+def test_tokenization_diff_trains_once(spark, sf, monkeypatch):
+    """Pages were tokenized four times, and both vocabularies trained, one of them for nothing."""
+    from webloom import queries
+    from webloom.operators import diff, tokenize
+
+    rows = tokenize.tokenize_pages(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "tokens").persist()
+    half, whole = (vocabulary.encode(rows, vocabulary.train(rows, n)) for n in (512, 1024))
+    both = half.select("page_id", half.tokenized.alias("saved")).join(whole.select("page_id", whole.tokenized.alias("new")), "page_id")
+    want = sorted(map(str, diff.diff(both, "saved", "new", "page_id").collect()))
+    trained, real = [], vocabulary.train
+    monkeypatch.setattr(vocabulary, "train", lambda *a, **k: trained.append(1) or real(*a, **k))
+    assert sorted(map(str, queries.QUERIES["tokenization_diff"](spark, sf).collect())) == want
+    assert len(trained) == 1
