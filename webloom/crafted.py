@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import diff, nodes, tokenize, vocabulary
+from .operators.arrow import spread
 from .plans import jobs
 from .schema import COMMENT, DOCTYPE, DOCUMENT, ELEMENT, TEXT
 from .sources import sinks, snapshots
@@ -144,11 +145,14 @@ def _filled(template: Column) -> Column:
 
 
 def split_cases(table) -> DataFrame:
-    rows = table("customer").select("c_custkey", F.expr(_TO.format("w", "c_custkey")).alias("w"), F.expr(_TO.format("v", "c_custkey")).alias("v"))
-    cases = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(mode).alias("mode"), F.lit(text).alias("text")) for i, (mode, text, _) in enumerate(CASES)))
-    rows = rows.select("c_custkey", "w", "v", F.explode(cases).alias("c")).select("c_custkey", "c.place", "c.mode", _filled(F.col("c.text")).alias("text"))
-    out = [tokenize.split_texts(rows.where(F.col("mode") == mode), mode=mode) for mode in ("full", "basic", "tag")]
-    return out[0].union(out[1]).union(out[2]).select("c_custkey", "place", F.array_join("tokens", " ").alias("tokens"))
+    rows = spread(table("customer")).select("c_custkey", F.expr(_TO.format("w", "c_custkey")).alias("w"), F.expr(_TO.format("v", "c_custkey")).alias("v"))
+
+    def split(mode: str) -> DataFrame:
+        cases = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(text).alias("text")) for i, (of, text, _) in enumerate(CASES) if of == mode))
+        made = rows.select("c_custkey", "w", "v", F.explode(cases).alias("c")).select("c_custkey", "c.place", _filled(F.col("c.text")).alias("text"))
+        return tokenize.split_texts(made, mode=mode)
+
+    return split("full").union(split("basic")).union(split("tag")).select("c_custkey", "place", F.array_join("tokens", " ").alias("tokens"))
 
 
 def _quoted(text: str) -> str:

@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: Rows of a small table that one task takes.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, per_task: int = TASK_ROWS) -> DataFrame:
+    """A table of short rows from which much is made, over as many tasks as its rows are worth:
+    a small file, or one written in one piece, would be read by a single task otherwise."""
+    tasks = -(-df.count() // per_task)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else df
+
+
 def with_columns(df: DataFrame, inputs: list[str], fn: Callable[..., list[list]], added: str) -> DataFrame:
     """``df`` and the columns ``added`` (a schema string) that ``fn`` makes of the input
     columns' values, given and returned as lists. Columns of these names are replaced. The
