@@ -97,3 +97,18 @@ def test_small_files_are_spread_over_tasks(spark):
     assert sorted(r[0] for r in spread(parts, 1000).select("p_partkey").collect()) == list(range(120_000))
     few = spark.range(10).coalesce(1)
     assert spread(few).rdd.getNumPartitions() == 1
+
+
+def test_a_batch_is_worked_on_in_slices(spark, monkeypatch):
+    """A worker held a whole batch, and what is made of it, as Python objects."""
+    from webloom.operators import arrow
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["x" * (90_000 if i % 50 == 7 else 10) for i in range(500)])], ["i", "t"])
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 100_000)
+    parts = list(arrow.sliced(batch, [1]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(p.column(1).nbytes for p in parts) <= 100_000 and len(parts) > 5
+    assert [p.num_rows for p in arrow.sliced(batch.slice(0, 0), [1])] == [0]
+    df = spark.range(5000).selectExpr("id", "repeat('x', 500) t").coalesce(1)
+    seen = arrow.with_columns(df, ["t"], lambda ts: [[len(ts)] * len(ts)], "n int").selectExpr("max(n)", "count(id)").first()
+    assert seen[0] <= 1024 and seen[1] == 5000
