@@ -91,9 +91,11 @@ def test_tokenization_diff_trains_once(spark, sf, monkeypatch):
 
 def test_small_files_are_spread_over_tasks(spark):
     """One file of short rows was one task, however much is made of each row."""
+    from webloom import crafted
     from webloom.operators.arrow import spread
 
     parts = spark.range(120_000).selectExpr("id p_partkey", "'t' p_type", "'n' p_name", "'b' p_brand").coalesce(1)
+    assert crafted.crafted_snapshots(parts).rdd.getNumPartitions() >= 3
     assert sorted(r[0] for r in spread(parts, 1000).select("p_partkey").collect()) == list(range(120_000))
     few = spark.range(10).coalesce(1)
     assert spread(few).rdd.getNumPartitions() == 1

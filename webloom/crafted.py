@@ -45,7 +45,7 @@ def crafted_snapshots(parts: DataFrame) -> DataFrame:
     """``source_index, displayed_url, dom_snapshot``; every other one is a browser's response."""
     document = lambda public, n: f"named_struct('documentURL', 0, 'publicId', {public}, 'systemId', -1, 'nodes', {n})"
     bare = f"to_json(named_struct('strings', array({', '.join(STRINGS)}), 'documents', array({document(14, _nodes(FIRST, '1'))}, {document(-1, _nodes(SECOND))})))"
-    rows = parts.select(F.col("p_partkey").cast("long").alias("source_index"), F.expr(STRINGS[0]).alias("displayed_url"), F.expr(bare).alias("dom_snapshot"))
+    rows = spread(parts).select(F.col("p_partkey").cast("long").alias("source_index"), F.expr(STRINGS[0]).alias("displayed_url"), F.expr(bare).alias("dom_snapshot"))
     response = F.concat(F.lit('{"id":1,"result":'), "dom_snapshot", F.lit("}"))
     return rows.withColumn("dom_snapshot", F.when(F.col("source_index") % 2 == 0, response).otherwise(F.col("dom_snapshot")))
 
