@@ -114,3 +114,17 @@ def test_a_batch_is_worked_on_in_slices(spark, monkeypatch):
     df = spark.range(5000).selectExpr("id", "repeat('x', 500) t").coalesce(1)
     seen = arrow.with_columns(df, ["t"], lambda ts: [[len(ts)] * len(ts)], "n int").selectExpr("max(n)", "count(id)").first()
     assert seen[0] <= 1024 and seen[1] == 5000
+
+
+def test_rows_that_are_written_if_any_are_made_once(spark, tmp_path):
+    from webloom.sources import sinks
+
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    assert sinks.write_if_any(spark.range(9).mapInArrow(one, "id long"), str(tmp_path / "some")) == 9
+    assert made.value == 9 and spark.read.parquet(str(tmp_path / "some")).count() == 9
