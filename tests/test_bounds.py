@@ -128,3 +128,30 @@ def test_rows_that_are_written_if_any_are_made_once(spark, tmp_path):
 
     assert sinks.write_if_any(spark.range(9).mapInArrow(one, "id long"), str(tmp_path / "some")) == 9
     assert made.value == 9 and spark.read.parquet(str(tmp_path / "some")).count() == 9
+
+
+def test_words_are_made_once_and_by_all_tasks(spark, tmp_path):
+    """Documents in one piece were one task's, whose words Spark made three times by three
+    expressions; the words and their counts are the same."""
+    from pyspark.sql import functions as F
+
+    from webloom import crafted
+    from webloom.operators.arrow import evened
+
+    odd = [None, "", " ", "a" * 22, "b" * 44 + "c", "d" * 45, "é\u0000x\ty\U0001f600Z,.[\\]^_`{|}~\x7f\x80", "-/0:;<@A!\"#$%&'()*+", "x1y, z.", "￿\U0010ffff", "don't"]
+    rows = spark.createDataFrame([(i, odd[i % 97] if i % 97 < len(odd) else f"w{i % 7} of Some") for i in range(60_000)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
+    assert table("documents").rdd.getNumPartitions() == 1
+    assert crafted._letters(table).rdd.getNumPartitions() >= 8 and crafted._words(table).rdd.getNumPartitions() >= 8
+    assert evened(rows.repartition(8), "doc_id").rdd.getNumPartitions() == 8 and evened(spark.range(0), "id").count() == 0
+
+    plain = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ,.]+", " "), "([A-Za-z]{22})", "$1 ")
+    want = table("documents").select("doc_id", plain.alias("text"))
+    assert crafted._letters(table).exceptAll(want).count() == 0 == want.exceptAll(crafted._letters(table)).count()
+    counts = vocabulary.token_counts(crafted._words(table))
+    split = want.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("token")).groupBy("token").count()
+    assert sorted(counts.collect()) == sorted(split.collect())
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    nulls = spark.createDataFrame([(["a", None],), ([],), (None,), ([None],)], "tokens array<string>")
+    assert {tuple(r) for r in vocabulary.token_counts(nulls).collect()} == {("a", 1), (None, 2)}

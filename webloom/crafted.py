@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import diff, nodes, tokenize, vocabulary
-from .operators.arrow import spread
+from .operators.arrow import evened, spread
 from .plans import jobs
 from .schema import COMMENT, DOCTYPE, DOCUMENT, ELEMENT, TEXT
 from .sources import sinks, snapshots
@@ -168,9 +168,20 @@ CASES_SQL = (
 _PLAIN = "regexp_replace(regexp_replace(text, '[^A-Za-z ,.]+', ' '{0}), '([A-Za-z]{{22}})', '{1}1 '{0})"
 
 
+#: ``[^A-Za-z ,.]`` by its ranges, which Java's expressions match several times faster.
+_OTHERS = r"[\x00-\x1f!-+\-/-@\[-`{-\x{10ffff}]"
+
+
 def _letters(table) -> DataFrame:
     """Whole documents, of which letters, commas and stops are left, words cut at 22 letters."""
-    return table("documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ,.]+", " "), "([A-Za-z]{22})", "$1 ").alias("text"))
+    rows = evened(table("documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.regexp_replace(F.regexp_replace("text", f"{_OTHERS}+", " "), "([A-Za-z]{22})", "$1 ").alias("text"))
+
+
+def _words(table) -> DataFrame:
+    """``tokens``, the words of ``_letters``, found in one pass over the documents' own text."""
+    rows = evened(table("documents").select("doc_id", "text"), "doc_id")
+    return rows.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{1,22}"), F.lit(0)).alias("tokens"))
 
 
 _PLAIN_SQL = (
@@ -238,7 +249,7 @@ MERGE_SQL = (
 
 def saved_vocabulary(table) -> DataFrame:
     """The most frequent words as a vocabulary, saved, loaded and listed."""
-    words = _letters(table).select(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")).alias("tokens"))
+    words = _words(table)
     spark, k = words.sparkSession, 200
     made = [r["token"] for r in vocabulary.most_frequent(vocabulary.token_counts(words), k).collect()]
     folder = sinks.scratch_path(spark, "vocabulary")

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of input columns that are Python objects at a time, a row at least, and rows.
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 1024
-#: Rows of a small table that one task takes.
-TASK_ROWS = 50_000
+#: Rows of a small table, and rows of long texts, that one task takes.
+TASK_ROWS, TEXT_ROWS = 50_000, 8192
 
 
 def sliced(batch: pa.RecordBatch, places: list[int]) -> Iterator[pa.RecordBatch]:
@@ -34,6 +35,17 @@ def spread(df: DataFrame, per_task: int = TASK_ROWS) -> DataFrame:
     return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else df
 
 
+def evened(df: DataFrame, key: str, per_task: int = TEXT_ROWS) -> DataFrame:
+    """A table of long texts as it is read, unless one task would read more than twice its share,
+    as with a file written in one piece: then dealt out by ``key``. Rows are counted without
+    reading a column."""
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    at_once = df.sparkSession.sparkContext.defaultParallelism
+    if max(rows, default=0) <= max(per_task, 2 * sum(rows) / at_once):
+        return df
+    return df.repartition(max(at_once, -(-sum(rows) // per_task)), key)
+
+
 def with_columns(df: DataFrame, inputs: list[str], fn: Callable[..., list[list]], added: str) -> DataFrame:
     """``df`` and the columns ``added`` (a schema string) that ``fn`` makes of the input
     columns' values, given and returned as lists. Columns of these names are replaced. The

@@ -31,8 +31,11 @@ KNOWN_WORDS = 200_000
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``token, n`` over all rows, combined on the map side."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """``token, n`` over all rows, combined on the map side. The outer explode keeps Spark from
+    adding a filter for empty arrays, which would make the tokens twice more; rows without any
+    have no place."""
+    rows = df.select(F.posexplode_outer(tokens).alias("place", "token")).where(F.col("place").isNotNull())
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_frequent(counts: DataFrame, k: int) -> DataFrame:
