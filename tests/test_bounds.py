@@ -155,3 +155,21 @@ def test_words_are_made_once_and_by_all_tasks(spark, tmp_path):
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     nulls = spark.createDataFrame([(["a", None],), ([],), (None,), ([None],)], "tokens array<string>")
     assert {tuple(r) for r in vocabulary.token_counts(nulls).collect()} == {("a", 1), (None, 2)}
+
+
+def test_training_normalizes_tokens_one_by_one(spark, sf, monkeypatch):
+    """Each row's array was normalized by an expression that Spark doesn't compile, thrice."""
+    from webloom import crafted
+
+    seen, real = [], vocabulary.token_counts
+    monkeypatch.setattr(vocabulary, "token_counts", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    rows = [(["The", "the", "[BASE64]", "ÉA", None, ""],), ([],), (None,), (["THE", "[LONG]", "[long]", "base"],)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    words = Counter(t if t in vocabulary.SPECIAL_TOKENS else t.lower() for (r,) in rows for t in r or () if t is not None)
+    for size in (20, 60):
+        assert vocabulary.train(df, size) == vocabulary.build(words.items(), size) == vocabulary.train(df, size, max_words=0)
+    assert "a" not in vocabulary.train(df, 60) and "A" in vocabulary.train(spark.createDataFrame([(["AB"],)], df.schema), 60, lower=False)
+    crafted.first_merge(lambda t: spark.read.parquet(f"{sf}/{t}.parquet"))
+    plans = [c._jdf.queryExecution().analyzed().toString() for c in seen]
+    assert len(plans) == 7 and not any("lambda" in p for p in plans)
+    assert plans[-1].count("regexp_") == 1

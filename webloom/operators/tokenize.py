@@ -70,7 +70,11 @@ def normalized(tokens: Column, special: tuple[str, ...] = ("[BASE64]", "[LONG]")
     """Tokens as the base model wants them, lower-cased or by an expression of its own; special
     ones stay as they are."""
     change = normalize or (F.lower if lower else None)
-    return F.transform(tokens, lambda t: F.when(t.isin(*special), t).otherwise(change(t))) if change else tokens
+    return F.transform(tokens, lambda t: normalized_token(t, special, change)) if change else tokens
+
+
+def normalized_token(token: Column, special: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    return F.when(token.isin(*special), token).otherwise(change(token))
 
 
 def resplit_text(tokens: Column) -> Column:

@@ -6,12 +6,12 @@ import heapq
 import json
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,11 +30,14 @@ TABLE_KINDS = 2048
 KNOWN_WORDS = 200_000
 
 
-def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``token, n`` over all rows, combined on the map side. The outer explode keeps Spark from
+def token_counts(df: DataFrame, tokens: str = "tokens", change: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``token, n`` over all rows, combined on the map side, of tokens as ``change`` makes them,
+    one by one, as Spark compiles no expression over the items of an array. The outer explode keeps Spark from
     adding a filter for empty arrays, which would make the tokens twice more; rows without any
     have no place."""
     rows = df.select(F.posexplode_outer(tokens).alias("place", "token")).where(F.col("place").isNotNull())
+    if change:
+        rows = rows.select(change(F.col("token")).alias("token"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,10 +114,9 @@ def build(words: Iterable[tuple[str, int]], size: int = DEFAULT_SIZE, special: I
 def train(df: DataFrame, size: int = DEFAULT_SIZE, tokens: str = "tokens", lower: bool = True, max_words: int = MAX_WORDS) -> list[str]:
     """A vocabulary from tokenized rows. Words are counted by the cluster; the driver merges
     them where there are at most ``max_words``, else the cluster does, with the same result."""
-    from .tokenize import normalized
+    from .tokenize import normalized_token
 
-    words = df.select(normalized(F.col(tokens), SPECIAL_TOKENS, lower).alias("tokens"))
-    counts = token_counts(words).persist()
+    counts = token_counts(df, tokens, (lambda t: normalized_token(t, SPECIAL_TOKENS, F.lower)) if lower else None).persist()
     try:
         if counts.count() > max_words:
             return build_on_cluster(counts, size)
@@ -130,9 +132,9 @@ def build_on_cluster(counts: DataFrame, size: int = DEFAULT_SIZE, special: Itera
     follow each other (``certain_merges``)."""
     special = [*BASE_TOKENS, *sorted(special)]
     words = counts.where((F.length("token") > 0) & ~F.col("token").isin(special)).select("token", "n")
-    chars = F.split("token", "")
-    letter = F.transform(chars, lambda c, i: F.when(i > 0, F.concat(F.lit("##"), c)).otherwise(c))
-    letters = [r["p"] for r in words.select(F.explode(letter).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").collect()]
+    chars = words.select(F.posexplode_outer(F.split("token", "")).alias("i", "c"), "n")
+    letter = F.when(F.col("i") > 0, F.concat(F.lit("##"), "c")).otherwise(F.col("c"))
+    letters = [r["p"] for r in chars.select(letter.alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").collect()]
     out = dict.fromkeys([*special, *letters[: max(0, size - len(special))]])
     numbers, names = {p: i for i, p in enumerate(letters)}, list(letters)
 
